@@ -1,0 +1,323 @@
+"""Each operator against a brute-force version, on a fixture of edge cases and on the smallest tables."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from latticework.llm import bpe, decontam, license, linededup, pii, quality, queries, simhash, toxicity, urlfilter, warc
+from latticework.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+LONG = "word tail. " * 20000
+TEXTS = [
+    None, "", " \n\t ", "one", "Mail a.b@c-d.example.com%x@y.zz and a@b@c.de, 1.2.3.4.5.6.7.8 or 300.1.2.3.4",
+    "Card 4539 1488 0343 6467 and 4539148803436467, 5927243074273351 1234567890123", "call +1 (017) 555-7713 ext +49-30-1234567890123456 or +12",
+    "my iban DE89370400440532013000 and GB82 WEST 1234 5698 7654 32; no DE88370400440532013000", "ssn 078-05-1120 but 078-05-1120x",
+    "Released under the MIT License. under the mit license Under The MIT license", "cc-by-nc 4.0 Apache License, Version 2.0", LONG, LONG,
+    "é ü <|endoftext|> ’s 'll  \n\n x", "a b c a b c a b c", "same line\nsame line\n\nother", "+1 +1 +1" * 300, "9" * 5000, "a." * 4000 + "@x" + ".y" * 4000,
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i if i != 3 else None, t, "en", i) for i, t in enumerate(TEXTS)] + [(11, LONG, "en", 0), (11, LONG, "en", 0)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, `fp` string, `key` int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("doc_id > 1000000")
+
+
+def small(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def both(spark, odd):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(d + 1000, t) for d, t in small(spark)]
+    return rows, odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+
+
+def test_bpe(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    own = Tokenizer.from_file(path)
+    own.no_padding(), own.no_truncation()
+    rows, docs = both(spark, odd)
+    want = sorted(((d, len(e), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(own.decode(e, skip_special_tokens=False).encode()).hexdigest()) for d, t in rows for e in [own.encode(t or "", add_special_tokens=False).ids]), key=str)
+    assert sorted((tuple(r) for r in bpe.encode_documents(docs, path).collect()), key=str) == want
+    assert bpe.encode_documents(empty, path).count() == 0
+    with_ids = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(odd, path, with_ids=True).collect()}
+    assert bpe.codec(path).decode(with_ids[13]) == TEXTS[13]
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
+
+
+def base_spans(text):
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, "email", m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 12 <= sum(c.isdigit() for c in m[0]) <= 19 and luhn(m[0]):
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return sorted(out)
+
+
+def test_pii(spark, odd, empty):
+    rows, docs = both(spark, odd)
+    got = sorted((tuple(r)[:6] for r in pii.digest(pii.detect(docs)).collect()), key=str)
+    want = []
+    for d, t in rows:
+        spans = base_spans(t)
+        n = [sum(k == x[2] for x in spans) for k in pii.BASE]
+        want.append((d, *n, hashlib.sha256(",".join(f"{k}:{b}:{e}" for b, _, k, e in spans).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(odd)).collect()}
+    assert spans[7].count("iban") == 2 and spans[8] == "ssn:4:15"
+    assert pii.digest(pii.detect(empty)).count() == 0
+
+
+def brute_simhash(text, shingle=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def roots_of(nodes, pairs):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def brute_components(rows, shingle=3):
+    fps = {t: brute_simhash(t, shingle) for _, t in rows}
+    distinct = sorted(set(fps.values()))
+    root = roots_of(distinct, [(a, b) for a, b in itertools.combinations(distinct, 2) if (a ^ b).bit_count() <= 3])
+    least = {}
+    for d, t in rows:
+        if d is not None:
+            r = root[fps[t]]
+            least[r] = min(d, least.get(r, d))
+    return [(d, f"{fps[t]:016x}", least.get(root[fps[t]])) for d, t in rows]
+
+
+def test_simhash(spark, odd, empty):
+    rows, docs = both(spark, odd)
+    got = simhash.near_duplicates(docs).select("doc_id", simhash.hexadecimal(F.col("fp")), "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_components(rows), key=str)
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.without_duplicates(odd).columns == odd.columns
+    assert simhash.without_duplicates(odd).count() == len({c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])})
+
+
+def test_simhash_links_keep_every_component(spark):
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(25):
+        x = rng.getrandbits(64)
+        for _ in range(12):
+            fps.add(x)
+            for b in rng.sample(range(64), rng.choice([1, 2, 3, 3, 4])):
+                x ^= 1 << b
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    table = spark.createDataFrame(signed, "fp bigint")
+    links = [(r["a"], r["b"]) for r in simhash.links(table).collect()]
+    assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3 for a, b in links)
+    nodes = [x for (x,) in signed]
+    every = [(a, b) for a, b in itertools.combinations(nodes, 2) if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3]
+    assert roots_of(nodes, links) == roots_of(nodes, every)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(7, 7), (3, 2), (2, 3)]
+    got, _ = components(spark.createDataFrame(pairs, "a bigint, b bigint"))
+    want = roots_of({x for p in pairs if p[0] != p[1] for x in p}, pairs)
+    assert {r["node"]: r["root"] for r in got.collect()} == want
+
+
+def test_license(spark, odd, empty):
+    rows, docs = both(spark, odd)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in license.scan_documents(docs).collect()), key=str)
+    want = []
+    for d, t in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        places = [(i, label) for label, p in license.BASE.items() for q in [p.split()] for i in range(len(words)) if words[i : i + len(q)] == q]
+        starts = [i for i, _ in places]
+        want.append((d, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))))
+    assert got == sorted(want, key=str)
+    labels = {r["doc_id"]: (r["labels"], r["score"]) for r in license.scan_documents(odd).collect()}
+    assert labels[10] == ("apache-2,cc-by-nc", 1.0) and labels[0] == ("", 0.0)
+    assert license.scan_documents(empty).count() == 0
+
+
+BENCH = ["Alice has 5 red apples and then Alice gives 2 of them to Bob near the river bank.", "what is the capital of the old kingdom by the sea", "tiny one"]
+
+
+def test_decontamination(spark):
+    bench = spark.createDataFrame(list(enumerate(BENCH)) + [(9, None), (10, "")], "item_id bigint, text string")
+    changed = "So, as told: Carol has 17 red apples and then Carol gives 3 of them to Dave near the river bank. The end."
+    crossed = "So, as told: Carol has 17 red apples and then Erin gives 17 of them to Carol near the river bank. The end."
+    docs = [(1, "Intro. " + BENCH[0] + " outro"), (2, "x " * 50 + BENCH[1]), (3, changed), (4, crossed), (5, "nothing here at all to be found by anyone"), (6, None), (7, ""), (2, "another text"), (8, "1 2 3 4 5 6 7 8 9"), (1, "Intro. " + BENCH[0] + " outro")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("hash", F.lit(1))
+    found = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontam.contaminated(table, bench).collect()}
+    assert found == {(1, 0): False, (2, 1): False, (3, 0): True}
+    kept = decontam.without_contaminated(table, bench)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 7, 8]
+    assert decontam.contaminated(table, bench.limit(0)).count() == 0 and decontam.contaminated(table.limit(0), bench).count() == 0
+
+
+def test_decontamination_without_the_small_side(spark, monkeypatch):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "SMALL", 0)
+    assert sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == want
+    whole = {(d, i) for d, t in small(spark) for i, b in map(tuple, bench.collect()) if b in t}
+    assert whole and whole <= {(w[0], w[2]) for w in want}
+
+
+def test_warc(spark):
+    pages = [(1, "http://a/ b", "x" * 1500), (5, None, "x" * 1500), (3, "http://c", "x" * 1500), (4, "http://d", None), (6, "http://e", "y" * 999), (7, "http://f", "y" * 999), (None, "http://g", "é\r\n\r\nWARC/1.1\r\n" * 90), (8, "h", "é\r\n\r\nWARC/1.1\r\n" * 90), (8, "h", "é\r\n\r\nWARC/1.1\r\n" * 90)]
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("size", F.lit("z")).repartition(2)
+    got = sorted((tuple(r)[:5] for r in warc.archived(table).collect()), key=str)
+    want = []
+    for p, _, h in pages:
+        data = (h or "").encode()
+        top = max((q for q, _, x in pages if x == h and q is not None), default=None)
+        revisit = len(data) >= 1000 and p != top
+        want.append((p, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
+    assert got == sorted(want, key=str)
+    assert warc.archived(table.limit(0)).count() == 0
+
+
+def test_arc_versions():
+    v1 = b"filedesc://x.arc 0.0.0.0 20200102030405 text/plain 77\n1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n".replace(b" 77\n", b" 64\n")
+    records = list(warc.parse_arc(v1 + b"\n" + warc.arc_record("http://a/", b"one", 1, "2020010203") + warc.arc_record("http://b/", b"", 1)))
+    assert [r.url for r in records] == ["http://a/", "http://b/"] and records[0].block.endswith(b"\r\n\r\none")
+    (headers, block), = warc.parse_warc(warc.to_warc(records[0], "k") + b"\r\n\r\n")
+    assert headers["warc-date"] == "2020-01-02T03:00:00Z" and headers["warc-type"] == "response" and block == records[0].block
+    assert list(warc.parse_arc(warc.arc_record("http://c/", b"two", 2)))[0].type == "text/html"
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(b"http://a/ 0.0.0.0 20200101 text/html 50\nshort"))
+
+
+def test_toxicity(spark, odd, empty):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    lexicon = toxicity.learn(docs, labels)
+    scored = toxicity.score_documents(docs, lexicon)
+    held = [tuple(r) for r in scored.join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()]
+    right = sum(p == t for p, t in held) / len(held)
+    recall = sum(p for p, t in held if t) / sum(t for _, t in held)
+    assert right > 0.95 and recall > 0.75, (right, recall)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in scored.limit(500).collect())
+    scorer = toxicity.Scorer({"^idiot$": 8.0, "^trash$": 8.0})
+    assert scorer.score("an 1DIOT") == scorer.score("") == 0.0 and scorer.score("an ıd1оt!") > 0.9
+    assert scorer.score("the trash can") == 0.0 and scorer.score("such trash") > 0.9 and scorer.score("trash " + LONG) < scorer.score("trash")
+    assert toxicity.learn(docs, labels.limit(0)) == {} and toxicity.score_documents(empty, lexicon).count() == 0
+    assert {r["score"] for r in toxicity.score_documents(odd, {}).collect()} == {0.0}
+    assert toxicity.without_toxic(odd, lexicon).columns == odd.columns
+
+
+def test_line_dedup(spark):
+    line = lambda i, n=6: " ".join(f"w{i}x{j}" for j in range(n))
+    passage = "\n".join(line(i, 20) for i in range(4))
+    long_line = line(77, 60)
+    docs = [(1, line(100) + "\n" + passage + "\n" + line(101)), (2, passage), (3, line(102) + "\n" + line(103) + "\n" + passage), (4, line(104) + "\n" + long_line), (5, long_line + "\n" + line(105)),
+            (6, line(106) + "\n\n" + line(107)), (7, line(106)), (8, None), (9, ""), (9, ""), (10, passage + "\n" + passage), (None, "alone"), (2, passage)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"h": F.lit(1), "row": F.lit("r"), "n_chars": F.length("text").cast("bigint")})
+    got = sorted(((r["doc_id"], r["text"]) for r in linededup.cleaned(table).collect()), key=str)
+    want = [(1, docs[0][1]), (2, ""), (2, ""), (3, line(102) + "\n" + line(103)), (4, docs[3][1]), (5, line(105)), (6, docs[5][1]), (7, line(106)), (8, None), (9, ""), (9, ""), (10, ""), (None, "alone")]
+    assert got == sorted(want, key=str)
+    assert linededup.cleaned(table).columns == table.columns and linededup.cleaned(table.limit(0)).count() == 0
+
+
+def test_line_dedup_loses_no_line(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    done = {r["doc_id"]: r for r in linededup.deduplicated(docs).select("row.doc_id", "clean", "n_removed_lines").collect()}
+    assert done.keys() == before.keys() and any(r["n_removed_lines"] for r in done.values())
+    kept = {x for r in done.values() for x in r["clean"].split("\n")}
+    for d, text in before.items():
+        assert text.count("\n") + 1 - done[d]["n_removed_lines"] == (done[d]["clean"].count("\n") + 1 if done[d]["clean"] or not done[d]["n_removed_lines"] else 0)
+        assert set(text.split("\n")) <= kept  # every line still stands somewhere
+
+
+def test_url_filter(spark, monkeypatch):
+    urls = [None, "", "no scheme", "http://A.Example.COM/en/7x?q", "https://example.com/en/8", "ftp://com/en/", "http://notcom/en/", "http://x.net/de/1", "http://example.net/de/81#f", "http://org/es", "http://o.org/es/?x", "http://casino.example/x", "http://a/b.exe", "http://x.com?/en/", "http://x.com/EN/7"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(3, urls[3])], "page_id bigint, url string").withColumn("host", F.lit("clash"))
+    rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    want = {}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [(len(n), n, v) for n, v in rules for h, _, p in [n.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        want[i] = (host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if re.search(r"casino|\.exe$", host + path) else "allow")
+    for most in (urlfilter.SMALL, 0):
+        monkeypatch.setattr(urlfilter, "SMALL", most)
+        got = [(r["page_id"], (r["host"], r["path"], r["rule"], r["verdict"])) for r in urlfilter.judged(pages).collect()]
+        assert len(got) == len(urls) + 1 and dict(got) == want
+    assert urlfilter.judged(pages.limit(0)).count() == 0
+
+
+def test_quality(spark, odd, empty):
+    rows, docs = both(spark, odd)
+    got = {(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.judged(quality.ledger(docs)).collect()}
+    want = set()
+    for d, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        seen, marks = {}, set()
+        for i in range(len(words) - 2):
+            seen.setdefault(tuple(words[i : i + 3]), []).append(i)
+        for places in seen.values():
+            if len(places) > 1:
+                marks.update(i + j for i in places for j in range(3))
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want.add((d, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(marks), len(words) < 50 or 100 * len(marks) > 50 * len(words)))
+    assert got == want
+    book = quality.ledger(docs)
+    told = {r["rule"]: r["n_failed"] for r in quality.ablation(book).collect()}
+    assert told["few_words"] == book.where("n_words < 50").count() and quality.judged(quality.ledger(empty)).count() == 0
+    assert quality.judged(book, 1).where("kept = base_failed").count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+        after = stage(spark, docs, SF).persist()
+        assert after.columns == docs.columns, name
+        kept = {r["doc_id"] for r in after.collect()}
+        if name == "simhash_near_dedup":
+            assert kept == {c for _, _, c in brute_components(rows)}
+        if name == "benchmark_decontamination":
+            items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert kept.isdisjoint(d for d, t in rows if any(b in t for b in items))
+        docs = after
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(kept)
