@@ -25,8 +25,8 @@ from .common import arrow_limits, text_or_empty
 #: Fixed value: how byte-level vocabularies cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_PAIR = 1 << 60
-#: A worker forgets its pieces beyond this many; longer pieces aren't remembered at all.
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
+#: A worker forgets its pieces, and its stretches, beyond so many; longer ones aren't remembered at all.
+CACHE_PIECES, CACHE_STRETCHES, CACHE_CHARS = 1_000_000, 400_000, 48
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -53,6 +53,7 @@ class Codec:
             self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         names = vocab | self.special
+        self.name_of = [str(i) for i in range(max(names.values()) + 1)]
         self.bytes_of = [b""] * (max(names.values()) + 1)
         for token, i in names.items():
             known = all(c in to_byte for c in token)
@@ -65,13 +66,13 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece.  low is the tree: low[1] the root, low[width + i] the rank of the pair at symbol i."""
-        of_byte, rank_of, made = self.of_byte, self.rank_of, self.made
+        of_byte, find, made = self.of_byte, self.rank_of.get, self.made
         symbols = [of_byte[b] for b in piece]
         n = len(symbols)
         if n < 2:
             return symbols
         width = 1 << (n - 1).bit_length()
-        ranks = [rank_of.get(a << 20 | b, NO_PAIR) for a, b in zip(symbols, symbols[1:])]
+        ranks = [find(a << 20 | b, NO_PAIR) for a, b in zip(symbols, symbols[1:])]
         low = [NO_PAIR] * width + ranks + [NO_PAIR] * (width - n + 1)
         for i in range(width - 1, 0, -1):
             x, y = low[i + i], low[i + i + 1]
@@ -88,17 +89,33 @@ class Codec:
             symbols[i], symbols[j] = made[rank], -1
             k, h = after[j], before[i]
             after[i] = k
-            changed = [(j, NO_PAIR)]
+            at = j + width
+            low[at] = NO_PAIR
+            while at > 1:
+                at >>= 1
+                x, y = low[at + at], low[at + at + 1]
+                if y < x:
+                    x = y
+                if low[at] == x:
+                    break
+                low[at] = x
+            at = i + width
             if k < n:
                 before[k] = i
-                changed.append((i, rank_of.get(symbols[i] << 20 | symbols[k], NO_PAIR)))
+                low[at] = find(symbols[i] << 20 | symbols[k], NO_PAIR)
             else:
-                changed.append((i, NO_PAIR))
+                low[at] = NO_PAIR
+            while at > 1:
+                at >>= 1
+                x, y = low[at + at], low[at + at + 1]
+                if y < x:
+                    x = y
+                if low[at] == x:
+                    break
+                low[at] = x
             if h >= 0:
-                changed.append((h, rank_of.get(symbols[h] << 20 | symbols[i], NO_PAIR)))
-            for leaf, new in changed:
-                at = leaf + width
-                low[at] = new
+                at = h + width
+                low[at] = find(symbols[h] << 20 | symbols[i], NO_PAIR)
                 while at > 1:
                     at >>= 1
                     x, y = low[at + at], low[at + at + 1]
@@ -123,10 +140,14 @@ class Codec:
         """Ids of a stretch that no piece crosses, and the same joined by commas."""
         found = self.known.get(text)
         if found is None:
-            ids = list(chain.from_iterable(self.piece(p) for p in self.cut_pieces.findall(text)))
-            found = ids, ",".join(map(str, ids))
+            cut = self.cut_pieces.findall(text)
+            ids = self.piece(cut[0])
+            for p in cut[1:]:
+                ids = ids + self.piece(p)
+            name_of = self.name_of
+            found = ids, ",".join([name_of[i] for i in ids])
             if len(text) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_PIECES:
+                if len(self.known) >= CACHE_STRETCHES:
                     self.known.clear()
                 self.known[text] = found
         return found
