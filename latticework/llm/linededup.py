@@ -51,22 +51,33 @@ def _chunks(keyed: DataFrame) -> DataFrame:
     return chunks.where(worth).select("k1", "k2", "doc_id", "begin", "n_lines", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(7), "hashes", "size").alias("h2"))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with its columns renamed c0, c1, ... and the document's keys; both joins below deal out just this."""
+    named = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    doc_id, text = doc_id.cast("bigint"), text.cast("string")
+    return named.select("*", F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, F.lit(7), doc_id).alias("k2"))
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(k1, k2, spans): for each document, array<struct(begin, n_lines)> of the chunks that an earlier one repeats."""
-    keyed = _keyed(docs)
-    chunks = _chunks(keyed)
+    """(k1, k2, gone): for each document, array<struct(begin, n_lines)> of the chunks that an earlier one repeats."""
+    chunks = _chunks(_keyed(docs))
     # how often a hash occurs is told beside each chunk without gathering the copies: counts first, then a join
     many = chunks.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
     spans = chunks.join(many, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "n_lines", "h1", "h2")).alias("spans"))
-    texts = keyed.select("k1", "k2", "doc_id", "text").join(spans, ["k1", "k2"])
-    bodies = texts.select("k1", "k2", "doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("spans").alias("s"))
-    bodies = bodies.select("k1", "k2", "doc_id", "s.*", F.array_join(F.slice("lines", F.col("s.begin") + 1, F.col("s.n_lines").cast("int")), "\n").alias("body"))
+    rows = _rows(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    # reading every column here keeps this exchange equal to the one in deduplicated(), so Spark deals out the texts once
+    rest = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns if c.startswith("c") and c != f"c{docs.columns.index('text')}"])) * 0
+    texts = rows.join(spans, ["k1", "k2"])
+    bodies = texts.select("k1", "k2", doc_id.cast("bigint").alias("doc_id"), F.split(text.cast("string"), "\n", -1).alias("lines"), rest.alias("rest"), F.explode("spans").alias("s"))
+    bodies = bodies.select("k1", "k2", "doc_id", (F.col("s.begin") + F.col("rest")).alias("begin"), "s.n_lines", "s.h1", "s.h2", F.array_join(F.slice("lines", F.col("s.begin") + 1, F.col("s.n_lines").cast("int")), "\n").alias("body"))
     place = F.struct("doc_id", "k1", "k2", "begin")
     first = bodies.groupBy("h1", "h2", "body").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")  # byte comparison
     # the bodies that are equal to one that was compared; their hashes and digest stand for them from here on
     first = first.select("h1", "h2", F.sha2("body", 256).alias("digest"), "first")
     gone = bodies.select("k1", "k2", "doc_id", "begin", "n_lines", "h1", "h2", F.sha2("body", 256).alias("digest")).join(first, ["h1", "h2", "digest"])
-    gone = gone.where(~(F.col("k1").eqNullSafe(F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("begin") == F.col("first.begin"))))
+    gone = gone.where(~((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("begin") == F.col("first.begin"))))
     return gone.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "n_lines")).alias("gone"))
 
 
@@ -83,9 +94,10 @@ def _kept_text() -> F.Column:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(row struct of docs' columns, clean text, n_removed_lines, n_removed_chunks) of every row."""
-    gone = repeated_chunks(docs)
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("k1"), F.xxhash64(F.col("text").cast("string"), F.lit(7), F.col("doc_id").cast("bigint")).alias("k2"))
-    joined = rows.join(gone, ["k1", "k2"], "left").select("row", "gone", F.col("row.text").cast("string").alias("text"))
+    joined = _rows(docs).join(repeated_chunks(docs), ["k1", "k2"], "left")
+    text = F.col(f"c{docs.columns.index('text')}").cast("string")
+    row = F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    joined = joined.select(row.alias("row"), "gone", text.alias("text"))
     n_lines = F.coalesce(F.aggregate("gone", F.lit(0).cast("bigint"), lambda s, x: s + x["n_lines"]), F.lit(0))
     return joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_kept_text()).alias("clean"), n_lines.cast("bigint").alias("n_removed_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed_chunks"))
 

@@ -48,7 +48,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    done = linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("row.doc_id", F.col("clean").alias("text"), "n_removed_lines", "n_removed_chunks")
 
 
