@@ -2,7 +2,8 @@
 
 A text is cut by the vocabulary's own pattern; each piece is merged with a segment tree over the ranks of
 adjacent pairs.  The root names the lowest rank, the leftmost leaf that holds it is merged, and three leaves
-are updated, so a piece of n bytes takes O(n log n) however long it is.
+are updated, so a piece of n bytes takes O(n log n) however long it is.  The trees of a batch's new pieces of up to
+WIDEST bytes lie side by side in arrays and take their merges in step: one merge a round in every tree.
 
 Edge cases: a null text counts as empty and gives no ids; a special token's own string in a text gives that
 token's id; very long pieces bypass the cache; repeated rows are encoded each on its own.
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,9 +26,11 @@ from .common import arrow_limits, text_or_empty
 
 #: Fixed value: how byte-level vocabularies cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NO_PAIR = 1 << 60
-#: A worker forgets its pieces, and its stretches, beyond so many; longer ones aren't remembered at all.
+NO_PAIR = (1 << 31) - 1
+#: A worker forgets its pieces, and its stretches, beyond so many (but those of the last group); longer ones at once.
 CACHE_PIECES, CACHE_STRETCHES, CACHE_CHARS = 1_000_000, 400_000, 48
+#: Characters of texts that are encoded together (at least one text), bytes of the pieces and pieces merged in step.
+GROUP_CHARS, WIDEST, ABREAST = 4_000_000, 64, 8192
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -60,7 +64,12 @@ class Codec:
             self.bytes_of[i] = bytes(to_byte[c] for c in token) if known else token.encode()
         self.cut_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or "(?!)")
         self.cut_pieces = regex.compile(PATTERN)
-        self.cut_spaces = re.compile(r"(?<=\S) (?=\S)")
+        self.cut_spaces = re.compile(r"(?<=\S)(?= \S)")
+        self.byte_ids, self.made_ids = np.array(self.of_byte, np.int32), np.array(self.made, np.int32)
+        codes = np.fromiter(self.rank_of.keys(), np.int64, len(self.rank_of))
+        order = np.argsort(codes)
+        self.codes = np.r_[codes[order], np.iinfo(np.int64).max]
+        self.ranks = np.r_[np.fromiter(self.rank_of.values(), np.int32, len(self.rank_of))[order], np.int32(NO_PAIR)]
         self.known: dict[str, tuple[list[int], str]] = {}
         self.pieces: dict[str, list[int]] = {}
 
@@ -126,50 +135,126 @@ class Codec:
                     low[at] = x
         return [s for s in symbols if s >= 0]
 
-    def piece(self, text: str) -> list[int]:
-        found = self.pieces.get(text)
-        if found is None:
-            found = self.merge(text.encode())
-            if len(text) <= CACHE_CHARS:
-                if len(self.pieces) >= CACHE_PIECES:
-                    self.pieces.clear()
-                self.pieces[text] = found
-        return found
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs; a symbol of -1 pairs with nothing."""
+        codes = a.astype(np.int64) << 20 | b
+        at = np.searchsorted(self.codes, codes)
+        return np.where(self.codes[at] == codes, self.ranks[at], np.int32(NO_PAIR))
 
-    def word(self, text: str) -> tuple[list[int], str]:
-        """Ids of a stretch that no piece crosses, and the same joined by commas."""
-        found = self.known.get(text)
-        if found is None:
-            cut = self.cut_pieces.findall(text)
-            ids = self.piece(cut[0])
-            for p in cut[1:]:
-                ids = ids + self.piece(p)
-            name_of = self.name_of
-            found = ids, ",".join([name_of[i] for i in ids])
-            if len(text) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_STRETCHES:
-                    self.known.clear()
-                self.known[text] = found
-        return found
+    def merge_abreast(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        """merge() of many pieces of 2 to width bytes, width a power of two; column width stands for no neighbour."""
+        m, w = len(pieces), width
+        sizes = np.fromiter(map(len, pieces), np.int64, m)
+        symbols = np.full((m, w + 1), -1, np.int32)
+        symbols[np.arange(w + 1) < sizes[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        low = np.empty((m, 2 * w), np.int32)
+        low[:, w:] = self.pair_ranks(symbols[:, :-1], symbols[:, 1:])
+        level = w
+        while level > 1:
+            level //= 2
+            low[:, level : 2 * level] = low[:, 2 * level : 4 * level].reshape(m, level, 2).min(axis=2)
+        places = np.arange(w + 1, dtype=np.int64)
+        after = np.where(places + 1 < sizes[:, None], places + 1, w)
+        before = np.tile(np.r_[w, places[:-1]], (m, 1))
+        flat, tree, after, before = symbols.ravel(), low.ravel(), after.ravel(), before.ravel()
+        rows = np.arange(m)
+        while True:
+            rank = tree[rows * 2 * w + 1]
+            live = rank != NO_PAIR
+            rows, rank = rows[live], rank[live]
+            if not rows.size:
+                break
+            root, first = rows * 2 * w, rows * (w + 1)
+            i, level = np.ones(rows.size, np.int64), 1
+            while level < w:  # the leftmost leaf of this rank
+                level *= 2
+                i += i
+                i += tree[root + i] != rank
+            i -= w
+            j, h = after[first + i], before[first + i]
+            k = after[first + j]
+            made = self.made_ids[rank]
+            flat[first + i], flat[first + j] = made, -1
+            after[first + i], before[first + k] = k, i
+            tree[root + w + i] = self.pair_ranks(made, flat[first + k])
+            tree[root + w + j] = NO_PAIR
+            has = h < w
+            tree[(root + w + h)[has]] = self.pair_ranks(flat[(first + h)[has]], made[has])
+            nodes = w + np.stack([i, j, np.where(has, h, i)])
+            while level > 1:
+                level //= 2
+                nodes >>= 1
+                under = root + 2 * nodes
+                tree[root + nodes] = np.minimum(tree[under], tree[under + 1])
+        left = symbols >= 0
+        ids, ends = symbols[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def stretches(self, text: str) -> Iterator[tuple[list[int], str]]:
-        """A single space between two other characters always begins a piece, so the text may be cut there."""
-        begin = 0
+    def meet_pieces(self, pieces: set[str]) -> None:
+        """Merge pieces that aren't remembered."""
+        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        for p in pieces:
+            piece = p.encode()
+            if 2 <= len(piece) <= WIDEST:
+                by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append((p, piece))
+            else:
+                self.pieces[p] = self.merge(piece)
+        for width, found in by_width.items():
+            for i in range(0, len(found), ABREAST):
+                part = found[i : i + ABREAST]
+                self.pieces.update(zip([p for p, _ in part], self.merge_abreast([piece for _, piece in part], width)))
+
+    def meet(self, stretches: set[str]) -> None:
+        """Ids of stretches that aren't remembered, and the same joined by commas."""
+        cut = [(s, self.cut_pieces.findall(s)) for s in stretches if s not in self.special]
+        used = set(chain.from_iterable(p for _, p in cut))
+        self.meet_pieces(used - self.pieces.keys())
+        pieces, name_of = self.pieces, self.name_of
+        for s, ps in cut:
+            ids = pieces[ps[0]] if len(ps) == 1 else list(chain.from_iterable([pieces[p] for p in ps]))
+            self.known[s] = ids, ",".join([name_of[i] for i in ids])
+        self.known.update((s, ([i], str(i))) for s, i in self.special.items() if s in stretches)
+        self.pieces = self.remembered(self.pieces, used, CACHE_PIECES)
+
+    @staticmethod
+    def remembered(held: dict, used: set[str], most: int) -> dict:
+        if len(held) > most:
+            held = {x: held[x] for x in used}
+        for x in [x for x in used if len(x) > CACHE_CHARS]:
+            held.pop(x, None)
+        return held
+
+    def stretches(self, text: str) -> list[str]:
+        """The text cut where no piece crosses: around special tokens, and before a single space between two other
+        characters, which always begins a piece."""
+        found, begin = [], 0
         for m in chain(self.cut_special.finditer(text), [None]):
             part = text[begin : m.start()] if m else text[begin:]
             if part:
-                first, *rest = self.cut_spaces.split(part)
-                yield self.word(first)
-                known = self.known
-                for w in rest:
-                    w = " " + w
-                    yield known.get(w) or self.word(w)
+                found += self.cut_spaces.split(part)
             if m:
-                yield [self.special[m[0]]], str(self.special[m[0]])
+                found.append(m[0])
                 begin = m.end()
+        return found
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """(ids, ids joined by commas) of each text, some texts at a time."""
+        begin = 0
+        while begin < len(texts):
+            size, stop = len(texts[begin]), begin + 1
+            while stop < len(texts) and size + len(texts[stop]) <= GROUP_CHARS:
+                size, stop = size + len(texts[stop]), stop + 1
+            cut = [self.stretches(t) for t in texts[begin:stop]]
+            used = set().union(*cut)
+            self.meet(used - self.known.keys())
+            for c in cut:
+                found = [self.known[s] for s in c]
+                yield list(chain.from_iterable([x for x, _ in found])), ",".join([s for _, s in found])
+            self.known = self.remembered(self.known, used, CACHE_STRETCHES)
+            begin = stop
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.stretches(text)))
+        return next(self.encode_all([text]))[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -193,11 +278,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False, i
         own = codec(vocabulary)
         for batch in batches:
             n_tokens, of_ids, of_text, all_ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                found = list(own.stretches(text_or_empty(text)))
-                ids = list(chain.from_iterable(x for x, _ in found))
+            for ids, joined in own.encode_all([text_or_empty(t) for t in batch.column(1).to_pylist()]):
                 n_tokens.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join([s for _, s in found]).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
                 if with_ids:
                     all_ids.append(ids)
