@@ -79,3 +79,100 @@ def core_decomposition(graph: Graph) -> DataFrame:
         core = new.select("id", "core")
         if new.where("core != old").isEmpty():
             return core
+
+
+def strong_components(graph: Graph) -> DataFrame:
+    """(id, component): the smallest id of the strong component.
+
+    Each round first sets aside nodes without a predecessor or successor among those left, then gives every node the
+    smallest id that leads to it; the nodes of one such colour that lead back to its root are a component.
+    """
+    edges = settled(graph.edges.where("src != dst and weight != 0").select("src", "dst").distinct())
+    left, done = settled(graph.nodes.select("id")), []
+    while not left.isEmpty():
+        inner = edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id")))
+        alone = left.join(inner, "id", "left_anti")
+        if not alone.isEmpty():
+            done.append(settled(alone.select("id", F.col("id").alias("component"))))
+            left = settled(left.join(inner, "id", "left_semi"))
+        else:
+            color = _least_label(left.select("id", F.col("id").alias("component")), edges)
+            a = color.select(F.col("id").alias("src"), F.col("component").alias("ca"))
+            b = color.select(F.col("id").alias("dst"), F.col("component").alias("cb"))
+            back = settled(edges.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
+            front = settled(color.where("id = component"))
+            found = front
+            while not front.isEmpty():
+                front = front.select(F.col("id").alias("dst"), "component").join(back, "dst").select(F.col("src").alias("id"), "component").distinct()
+                front = settled(front.join(found, "id", "left_anti"))
+                found = settled(found.unionByName(front))
+            done.append(found)
+            left = settled(left.join(found, "id", "left_anti"))
+        edges = edges.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        edges = settled(edges.select("src", "dst"))
+    if not done:
+        return graph.nodes.select("id", F.col("id").alias("component"))
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _least_label(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels (id, component), lowered along the edges until they are stable."""
+    while True:
+        near = edges.join(label.select(F.col("id").alias("src"), "component"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
+        new = settled(label.join(near, "id", "left").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old")))
+        label = new.select("id", "component")
+        if new.where("component != old").isEmpty():
+            return label
+
+
+def is_acyclic(graph: Graph) -> bool:
+    """Whether a directed graph has no cycle, self-loops included: peeling nodes without predecessors leaves no edge."""
+    edges = settled(graph.edges.where("weight != 0").select("src", "dst").distinct())
+    n = edges.count()
+    while n:
+        edges = settled(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        n, before = edges.count(), n
+        if n == before:
+            return False
+    return True
+
+
+def is_bipartite(graph: Graph) -> bool:
+    """Whether an undirected graph has no odd cycle: in its double cover no node meets its own copy."""
+    e = graph.edges.where("weight != 0").select("src", "dst")
+    cover = e.select((2 * F.col("src")).alias("src"), (2 * F.col("dst") + 1).alias("dst")).unionByName(e.select((2 * F.col("src") + 1).alias("src"), (2 * F.col("dst")).alias("dst")))
+    part = connected_components(Graph(cover.withColumn("weight", F.lit(1.0)), 2 * graph.n_row, 2 * graph.n_row))
+    odd = part.groupBy(F.floor(F.col("id") / 2).alias("node")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low = high")
+    return odd.isEmpty()
+
+
+def largest_component(graph: Graph, strong: bool = False) -> DataFrame:
+    """(id) of the component with the most nodes, ties to the smaller component id."""
+    part = settled(strong_components(graph) if strong else connected_components(graph))
+    best = part.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+    return part.join(F.broadcast(best), "component").select("id")  # one row
+
+
+def color_refinement(graph: Graph, max_iter: int = -1) -> DataFrame:
+    """(id, color): Weisfeiler-Lehman classes of a graph's rows, named by their smallest node.
+
+    A round groups nodes by their colour and the sorted colours of their neighbours, told by two hashes of the counts of
+    each colour (so a hub's neighbours are counted before they meet), until no class splits.
+    """
+    edges = settled(graph.edges.where("weight != 0").select("src", "dst").distinct())
+    color, n, done = graph.nodes.select("id", F.lit(0).cast("bigint").alias("color")), min(1, graph.n), 0
+    while max_iter < 0 or done < max_iter:
+        near = edges.join(color.select(F.col("id").alias("dst"), F.col("color").alias("c")), "dst").groupBy("src", "c").agg(F.count("*").alias("k"))
+        mixed = near.groupBy(F.col("src").alias("id")).agg(*[F.sum(F.xxhash64(F.lit(i), "c", "k").cast("decimal(20,0)")).alias(f"h{i}") for i in (1, 2)])
+        told = settled(color.join(mixed, "id", "left"))
+        key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("color", "h1", "h2")]
+        told = told.select("id", *key)
+        names = told.groupBy("color", "h1", "h2").agg(F.min("id").alias("least"))
+        color = settled(told.join(names, ["color", "h1", "h2"]).select("id", F.col("least").alias("color")))
+        done, before, n = done + 1, n, color.select("color").distinct().count()
+        if n == before:
+            break
+    return color

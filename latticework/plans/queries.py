@@ -142,6 +142,19 @@ def tp01_connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.connected_components(sequence(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {SEQ}, r AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.other)
+SELECT a.id, min(a.other) AS component FROM r a JOIN r b ON a.id = b.other AND a.other = b.id GROUP BY 1""")
+def tp02_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.strong_components(sequence(spark, sf_dir))
+
+
+@query(f"""WITH {BLOCK}, x0 AS (SELECT id, 0::BIGINT AS color FROM nodes){"".join(f"""
+, s{i} AS (SELECT x.id, x.color, coalesce(string_agg(y.color::VARCHAR, ',' ORDER BY y.color), '') AS near FROM x{i} x LEFT JOIN e ON e.src = x.id LEFT JOIN x{i} y ON y.id = e.dst GROUP BY 1, 2)
+, x{i + 1} AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY color, near) AS color FROM s{i})""" for i in range(2))} SELECT id, color FROM x2""")
+def tp09_color_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.color_refinement(bipartite2undirected(part_supplier(spark, sf_dir)), 2)
+
+
 @query(None)
 def tp07_core_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.core_decomposition(directed2undirected(sequence(spark, sf_dir), weighted=False))
