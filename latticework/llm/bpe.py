@@ -70,7 +70,8 @@ class Codec:
         order = np.argsort(codes)
         self.codes = np.r_[codes[order], np.iinfo(np.int64).max]
         self.ranks = np.r_[np.fromiter(self.rank_of.values(), np.int32, len(self.rank_of))[order], np.int32(NO_PAIR)]
-        self.known: dict[str, tuple[list[int], str]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.named: dict[str, str] = {}  # the ids of known, joined by commas
         self.pieces: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -212,8 +213,9 @@ class Codec:
         pieces, name_of = self.pieces, self.name_of
         for s, ps in cut:
             ids = pieces[ps[0]] if len(ps) == 1 else list(chain.from_iterable([pieces[p] for p in ps]))
-            self.known[s] = ids, ",".join([name_of[i] for i in ids])
-        self.known.update((s, ([i], str(i))) for s, i in self.special.items() if s in stretches)
+            self.known[s], self.named[s] = ids, ",".join([name_of[i] for i in ids])
+        for s in self.special.keys() & stretches:
+            self.known[s], self.named[s] = [self.special[s]], name_of[self.special[s]]
         self.pieces = self.remembered(self.pieces, used, CACHE_PIECES)
 
     @staticmethod
@@ -248,9 +250,8 @@ class Codec:
             used = set().union(*cut)
             self.meet(used - self.known.keys())
             for c in cut:
-                found = [self.known[s] for s in c]
-                yield list(chain.from_iterable([x for x, _ in found])), ",".join([s for _, s in found])
-            self.known = self.remembered(self.known, used, CACHE_STRETCHES)
+                yield list(chain.from_iterable(map(self.known.__getitem__, c))), ",".join(map(self.named.__getitem__, c))
+            self.known, self.named = (self.remembered(x, used, CACHE_STRETCHES) for x in (self.known, self.named))
             begin = stop
 
     def encode(self, text: str) -> list[int]:
