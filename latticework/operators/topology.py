@@ -9,17 +9,22 @@ from ..graph import Graph, directed2undirected
 from .loops import settled
 
 
-def distances(graph: Graph, sources: list[int]) -> DataFrame:
-    """(id, distance) in hops from the nearest source, -1 where none leads."""
+def hops_from(graph: Graph, sources: DataFrame) -> DataFrame:
+    """(id, distance) of the nodes that sources(id) lead to, in hops from the nearest."""
     edges = settled(graph.edges.where("weight != 0").select("src", "dst").distinct())
-    seen = settled(graph.nodes.where(F.col("id").isin(sources)).select("id", F.lit(0).alias("distance")))
+    seen = settled(graph.nodes.join(sources.select("id"), "id", "left_semi").select("id", F.lit(0).alias("distance")))
     front, hop = seen, 0
     while True:
         hop += 1
         front = settled(edges.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(hop).alias("distance")))
         if front.isEmpty():
-            break
+            return seen
         seen = settled(seen.unionByName(front))
+
+
+def distances(graph: Graph, sources: list[int]) -> DataFrame:
+    """(id, distance) in hops from the nearest source, -1 where none leads."""
+    seen = hops_from(graph, graph.nodes.where(F.col("id").isin(sources)))
     return graph.nodes.join(seen, "id", "left").select("id", F.coalesce("distance", F.lit(-1)).alias("distance"))
 
 
@@ -60,6 +65,24 @@ def count_triangles(graph: Graph) -> DataFrame:
     return closed.agg(F.count("*").alias("n"))
 
 
+def count_cliques(graph: Graph, size: int = 3) -> DataFrame:
+    """One row, n: sets of size nodes that are all linked.
+
+    A clique's nodes lie along the oriented edges in one order; a longer one is a shorter one and an out-edge of its
+    last node, kept where edges lead to the new node from all others.
+    """
+    if size < 2:
+        return graph.nodes.agg(F.count("*").alias("n"))
+    e = settled(_oriented(graph))
+    found = e.select(F.col("src").alias("c0"), F.col("dst").alias("c1"))
+    for k in range(2, size):
+        found = found.join(e.select(F.col("src").alias(f"c{k - 1}"), F.col("dst").alias(f"c{k}")), f"c{k - 1}")
+        for i in range(k - 1):
+            found = found.join(e.select(F.col("src").alias(f"c{i}"), F.col("dst").alias(f"c{k}")), [f"c{i}", f"c{k}"], "left_semi")
+        found = settled(found)
+    return found.agg(F.count("*").alias("n"))
+
+
 def clustering_coefficient(graph: Graph) -> DataFrame:
     """One row: 3 triangles over the wedges."""
     degree = directed2undirected(graph, weighted=False).edges.where("src != dst").groupBy("src").agg(F.count("*").alias("d"))
@@ -128,6 +151,11 @@ def _least_label(label: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def is_connected(graph: Graph, strong: bool = False) -> bool:
+    part = strong_components(graph) if strong else connected_components(graph)
+    return part.select("component").distinct().limit(2).count() == 1
+
+
 def is_acyclic(graph: Graph) -> bool:
     """Whether a directed graph has no cycle, self-loops included: peeling nodes without predecessors leaves no edge."""
     edges = settled(graph.edges.where("weight != 0").select("src", "dst").distinct())
