@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph, bipartite2undirected, degrees, directed2undirected, from_biadjacency, from_edges, weights
-from ..operators import learning, ranking, topology
+from ..operators import centrality, classifiers, learning, ranking, topology
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,6 +189,67 @@ def lp01_nearest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learning.nearest_links(trade(spark, sf_dir), 5), "similarity")
 
 
+HEAVY = TRADE + ", h AS (SELECT * FROM e WHERE weight >= (SELECT avg(weight) FROM e))"
+
+
+def heavy_trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """The trade edges of at least the mean weight."""
+    graph = trade(spark, sf_dir)
+    mean = graph.edges.agg(F.avg("weight").alias("mean"))  # one row
+    return from_edges(graph.edges.crossJoin(F.broadcast(mean)).where("weight >= mean"), graph.n)
+
+
+@query(f"""WITH RECURSIVE {HEAVY}, d AS (SELECT n_nationkey::BIGINT AS source, n_nationkey::BIGINT AS id, 0 AS distance FROM nation UNION SELECT d.source, h.dst, distance + 1 FROM d JOIN h ON h.src = d.id WHERE distance < 24),
+m AS (SELECT source, id, min(distance) AS distance FROM d GROUP BY 1, 2) SELECT source AS id, round(CASE WHEN count(*) = 25 THEN 24 / sum(distance) ELSE 0 END, 6) AS score FROM m GROUP BY 1""")
+def rk05_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(centrality.closeness(heavy_trade(spark, sf_dir)), "score")
+
+
+@query(f"""WITH {HEAVY}{_rounds(24, "SELECT n_nationkey::BIGINT AS s, n_nationkey::BIGINT AS t, 1.0::DOUBLE AS v FROM nation", "SELECT s, h.dst AS t, sum(v) AS v FROM {x} x JOIN h ON h.src = x.t GROUP BY 1, 2")},
+w AS ({" UNION ALL ".join(f"SELECT s, t, {k} AS d, v FROM x{k}" for k in range(25))}), p AS MATERIALIZED (SELECT s, t, min(d) AS d, arg_min(v, d) AS v FROM w GROUP BY 1, 2),
+c AS (SELECT a.t AS id, sum(a.v * b.v / p.v) / 2 AS score FROM p a JOIN p b ON a.t = b.s JOIN p ON p.s = a.s AND p.t = b.t WHERE a.d > 0 AND b.d > 0 AND p.d = a.d + b.d AND p.s <> p.t GROUP BY 1)
+SELECT n_nationkey::BIGINT AS id, round(coalesce(score, 0), 6) AS score FROM nation LEFT JOIN c ON id = n_nationkey""")
+def rk06_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(centrality.betweenness(heavy_trade(spark, sf_dir)), "score")
+
+
+@query(f"""WITH {SEQ}{UND}, o AS (SELECT * FROM u WHERE src < dst)
+SELECT count(*) AS n FROM o ab JOIN o bc ON ab.dst = bc.src JOIN o ac ON ac.src = ab.src AND ac.dst = bc.dst JOIN o cd ON cd.src = bc.dst JOIN o ad ON ad.src = ab.src AND ad.dst = cd.dst JOIN o bd ON bd.src = ab.dst AND bd.dst = cd.dst""")
+def tp08_count_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.count_cliques(sequence(spark, sf_dir), 4)
+
+
+def region_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten nations, labelled by their region."""
+    rows = _table(spark, sf_dir, "nation").where("n_nationkey < 10")
+    return rows.select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_regionkey").cast("bigint").alias("label"))
+
+
+_KNOWN = "k AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS label FROM nation WHERE n_nationkey < 10)"
+
+
+@query(f"""WITH {TRADE}, {_KNOWN}, o AS (SELECT src, sum(weight) AS t FROM e GROUP BY 1), p AS MATERIALIZED (SELECT src, dst, weight / t AS w FROM e JOIN o USING (src)),
+b AS MATERIALIZED (SELECT id, label, (1 - 0.85::DOUBLE * (o.t IS NOT NULL)::INT) / count(*) OVER (PARTITION BY label) AS v FROM k LEFT JOIN o ON id = src){_rounds(10, "SELECT * FROM b", "SELECT id, label, sum(v) AS v FROM (SELECT p.dst AS id, label, 0.85::DOUBLE * w * v AS v FROM p JOIN {x} y ON y.id = p.src UNION ALL SELECT b.id, label, b.v * m.v FROM b JOIN (SELECT label, sum(v) AS v FROM {x} GROUP BY 1) m USING (label)) GROUP BY 1, 2")},
+s AS (SELECT id, label, v / sum(v) OVER (PARTITION BY label) AS v FROM x10), r AS (SELECT id, label, v / sum(v) OVER (PARTITION BY id) AS prob FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(v, 12) DESC, label) = 1)
+SELECT n_nationkey::BIGINT AS id, coalesce(label, (SELECT min(label) FROM k)) AS label, round(coalesce(prob, 0), 6) AS prob FROM nation LEFT JOIN r ON id = n_nationkey""")
+def cf01_pagerank_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(classifiers.pagerank_classifier(trade(spark, sf_dir), region_seeds(spark, sf_dir)), "prob")
+
+
+@query(f"""WITH RECURSIVE {TRADE}, {_KNOWN}, reached AS (SELECT id FROM k UNION SELECT e.dst FROM reached JOIN e ON e.src = reached.id), o AS (SELECT src, sum(weight) AS t FROM e GROUP BY 1), p AS MATERIALIZED (SELECT src, dst, weight / t AS w FROM e JOIN o USING (src)),
+g AS (SELECT n_nationkey::BIGINT AS id, c.label, CASE WHEN k.label IS NOT NULL THEN (k.label = c.label)::INT::DOUBLE END AS seed FROM nation CROSS JOIN (SELECT DISTINCT label FROM k) c LEFT JOIN k ON k.id = n_nationkey){_rounds(10, "SELECT id, label, coalesce(seed, 0.5) AS v FROM g", "SELECT g.id, g.label, coalesce(seed, m.v, 0) AS v FROM g LEFT JOIN (SELECT p.src AS id, label, sum(w * v) AS v FROM p JOIN {x} y ON y.id = p.dst GROUP BY 1, 2) m USING (id, label)")},
+t AS (SELECT id, label, v - avg(v) OVER (PARTITION BY label) AS v FROM x10), s AS (SELECT id, label, exp(5 * v) / sum(exp(5 * v)) OVER (PARTITION BY id) AS prob FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(v, 9) DESC, label) = 1)
+SELECT s.id, CASE WHEN reached.id IS NULL THEN -1 ELSE label END AS label, round(CASE WHEN reached.id IS NULL THEN 0 ELSE prob END, 6) AS prob FROM s LEFT JOIN reached USING (id)""")
+def cf02_diffusion_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(classifiers.diffusion_classifier(trade(spark, sf_dir), region_seeds(spark, sf_dir)), "prob")
+
+
+@query(f"""WITH {TRADE}, {_KNOWN}{_rounds(10, "SELECT * FROM k", "SELECT * FROM k UNION ALL SELECT id, label FROM (SELECT e.src AS id, y.label, sum(weight) AS w FROM e JOIN {x} y ON y.id = e.dst WHERE e.src NOT IN (SELECT id FROM k) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1")}
+SELECT n_nationkey::BIGINT AS id, coalesce(label, -1) AS label FROM nation LEFT JOIN x10 ON id = n_nationkey""")
+def cf03_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifiers.propagation(trade(spark, sf_dir), region_seeds(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
