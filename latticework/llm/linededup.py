@@ -1,15 +1,15 @@
-r"""Line dedup by content-defined chunks of lines.
+r"""Line dedup by chunks of lines that an earlier document, or an earlier place, holds.
 
-Each line is hashed, and a rolling hash over the hashes of two neighbouring lines chooses chunk boundaries, so
-that an insertion shifts none of them further on.  A boundary also lies wherever the number of times that a line
-occurs in the corpus, or has occurred in its document so far, changes: a passage that was copied into other
-surroundings, or twice into one document, then begins and ends a chunk.
-Chunks of several lines, or of one line of at least LONG_LINE words, whose hash occurs more than once are fetched
-and compared byte by byte; of equal chunks the first (smallest doc_id, then earliest line) stays.
+Each line is hashed, and a hash rolls over the hashes of two neighbouring lines; every such pair is a chunk, so an
+insertion shifts none further on and a repeated passage is found whole wherever it stands and whatever its lines'
+other occurrences.  A single line of at least LONG_LINE words is a chunk too.  Chunks whose hash occurs more than
+once are fetched and compared byte by byte; of equal chunks the first (smallest doc_id, then earliest line) stays,
+the lines of the others go.  The first occurrence of a line is in no later chunk, so every line stays somewhere.
 
 Only DataFrame functions.  Edge cases: a null text stays null; lines that occur once are never touched; rows with
 the same doc_id and text are one document and get the same text back; a null doc_id counts as smaller than any;
-blank lines are lines like any other; a text all of whose chunks go becomes the empty string.
+blank lines are neutral: neighbours are the lines that aren't blank, and blank ones between two that go go too; a
+text all of whose lines go becomes the empty string.  n_removed_chunks counts contiguous stretches.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: One in so many pairs of lines is a boundary; words that make a single line worth removing.
-DIVISOR, LONG_LINE = 4, 50
+#: Words that make a single line worth removing.
+LONG_LINE = 50
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -28,27 +28,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, begin, n_lines, n_words, h1, h2): chunks of lines that occur more than once."""
-    parts = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("size"), F.size(F.split(F.trim(x), "[ \t\r]+")).alias("words")))
-    lines = keyed.where(F.col("text").isNotNull()).select("k1", "k2", "doc_id", F.posexplode(parts).alias("at", "line")).select("k1", "k2", "doc_id", "at", "line.*")
-    often = lines.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1")
-    lines = lines.join(often, ["h", "size"])
-    by_doc = Window.partitionBy("k1", "k2").orderBy("at")
-    lines = lines.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2", "at").orderBy("h"))).where("copy = 1").drop("copy")
-    lines = lines.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2", "h").orderBy("at")))
-    rolling = F.pmod(F.xxhash64("h", F.lag("h").over(by_doc)), F.lit(DIVISOR)) == 0
-    fresh = F.coalesce((F.col("at") != F.lag("at").over(by_doc) + 1) | (F.col("n") != F.lag("n").over(by_doc)) | (F.col("nth") != F.lag("nth").over(by_doc)), F.lit(True))
-    lines = lines.withColumns({"cut": rolling, "fresh": fresh}).withColumn("run", F.sum(F.col("fresh").cast("int")).over(by_doc))
-    in_run = Window.partitionBy("k1", "k2", "run").orderBy("at")
-    whole = Window.partitionBy("k1", "k2", "run")
-    place, length = F.row_number().over(in_run), F.count("*").over(whole)
-    # a cut needs two lines on either side and none just before it, so every piece of a longer run has several lines
-    cut = F.col("cut") & ~F.lag("cut", 1, False).over(in_run) & (place > 2) & (place < length)
-    lines = lines.withColumn("chunk", F.sum(F.when(cut | (place == 1), 1).otherwise(0)).over(by_doc))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"])
-    chunks = lines.groupBy("k1", "k2", "doc_id", "chunk").agg(F.min("at").alias("begin"), F.count("*").alias("n_lines"), F.sum("words").alias("n_words"), ordered.alias("hashes"), F.sum("size").alias("size"))
-    worth = (F.col("n_lines") > 1) | (F.col("n_words") >= LONG_LINE)
-    return chunks.where(worth).select("k1", "k2", "doc_id", "begin", "n_lines", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(7), "hashes", "size").alias("h2"))
+    """(k1, k2, doc_id, begin, n_lines, h1, h2): every pair of neighbouring lines, and every long line."""
+    blank = lambda x: F.translate(x, " \t\r\x0b\x0c", "") == ""
+    told = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), F.when(~blank(x), F.xxhash64(x)).alias("h"), F.when(~blank(x), F.xxhash64(F.lit(7), x)).alias("g"), F.size(F.split(F.trim(x), "[ \t\r]+")).alias("words")))
+    lines = keyed.where(F.col("text").isNotNull()).select("k1", "k2", "doc_id", F.filter(told, lambda x: x["h"].isNotNull()).alias("lines"))
+    span = lambda x, y, mark: F.struct(x["at"].alias("begin"), (y["at"] - x["at"] + 1).cast("bigint").alias("n_lines"), F.xxhash64(F.lit(mark), x["h"], y["h"]).alias("h1"), F.xxhash64(F.lit(mark), x["g"], y["g"]).alias("h2"))
+    but_last = F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))
+    pairs = F.zip_with(but_last, F.slice("lines", F.lit(2), F.size("lines")), lambda x, y: span(x, y, 2))
+    long_lines = F.transform(F.filter("lines", lambda x: x["words"] >= LONG_LINE), lambda x: span(x, x, 1))
+    return lines.select("k1", "k2", "doc_id", F.explode(F.concat(pairs, long_lines)).alias("s")).select("k1", "k2", "doc_id", "s.*")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -71,14 +59,20 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rest = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns if c.startswith("c") and c != f"c{docs.columns.index('text')}"])) * 0
     texts = rows.join(spans, ["k1", "k2"])
     bodies = texts.select("k1", "k2", doc_id.cast("bigint").alias("doc_id"), F.split(text.cast("string"), "\n", -1).alias("lines"), rest.alias("rest"), F.explode("spans").alias("s"))
-    bodies = bodies.select("k1", "k2", "doc_id", (F.col("s.begin") + F.col("rest")).alias("begin"), "s.n_lines", "s.h1", "s.h2", F.array_join(F.slice("lines", F.col("s.begin") + 1, F.col("s.n_lines").cast("int")), "\n").alias("body"))
-    place = F.struct("doc_id", "k1", "k2", "begin")
+    bodies = bodies.select("k1", "k2", "doc_id", (F.col("s.begin") + F.col("rest")).alias("begin"), "s.n_lines", "s.h1", "s.h2", F.concat(F.get("lines", F.col("s.begin")), F.lit("\n"), F.get("lines", F.col("s.begin") + F.col("s.n_lines").cast("int") - 1)).alias("body"))
+    place = F.struct("doc_id", "k1", "k2", "begin", "n_lines")
     first = bodies.groupBy("h1", "h2", "body").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")  # byte comparison
     # the bodies that are equal to one that was compared; their hashes and digest stand for them from here on
     first = first.select("h1", "h2", F.sha2("body", 256).alias("digest"), "first")
     gone = bodies.select("k1", "k2", "doc_id", "begin", "n_lines", "h1", "h2", F.sha2("body", 256).alias("digest")).join(first, ["h1", "h2", "digest"])
-    gone = gone.where(~((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("begin") == F.col("first.begin"))))
-    return gone.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "n_lines")).alias("gone"))
+    # a chunk that overlaps the first one, as in three equal lines, is part of it
+    apart = (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("begin") >= F.col("first.begin") + F.col("first.n_lines"))
+    gone = gone.where(apart).select("k1", "k2", "begin", (F.col("begin") + F.col("n_lines")).alias("stop"))
+    by_doc = Window.partitionBy("k1", "k2").orderBy("begin", "stop")
+    before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    gone = gone.withColumn("fresh", F.coalesce(F.col("begin") > before, F.lit(True)).cast("int")).withColumn("stretch", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    gone = gone.groupBy("k1", "k2", "stretch").agg(F.min("begin").alias("begin"), (F.max("stop") - F.min("begin")).alias("n_lines"))
+    return gone.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "n_lines")).alias("gone"))
 
 
 def _kept_text() -> F.Column:
