@@ -38,6 +38,18 @@ NOTICES = {
     "cc0": ("dedicated to the public domain under cc0 1 0", "cc0"),
     "proprietary": ("all rights reserved no part of this work may be reproduced without permission", "all rights reserved"),
 }
+#: Label -> short forms that stand without the sentence around them; all their words must agree.
+SHORT = {
+    "mit": ("mit license",),
+    "apache-2": ("apache license 2 0", "apache license v 2 0", "apache license v2 0"),
+    "gpl-3": ("gnu general public license version 3", "gnu general public license v 3", "gnu general public license v3"),
+    "gpl-2": ("gnu general public license version 2", "gnu general public license v 2", "gnu general public license v2"),
+    "lgpl": ("gnu lesser general public license",),
+    "bsd": ("redistribution and use in source and binary forms",),
+    "mpl-2": ("mozilla public license v 2 0", "mozilla public license version 2 0", "mozilla public license 2 0"),
+    "cc-by-sa": ("cc by sa",),
+    "proprietary": ("all rights reserved",),
+}
 RARE_WORDS = 3
 #: Share of a notice's words that must agree in place.
 COVER = 0.7
@@ -52,7 +64,8 @@ def words_of(text: str | None) -> list[bytes]:
 def templates() -> list[tuple[str, list[bytes], list[bytes], bool]]:
     """(label, words, key phrase, whether it is a base phrase)."""
     base = [(label, p.encode().split(), p.encode().split(), True) for label, p in BASE.items()]
-    return base + [(label, n.encode().split(), k.encode().split(), False) for label, (n, k) in NOTICES.items()]
+    short = [(label, p.encode().split(), p.encode().split(), False) for label, forms in SHORT.items() for p in forms]
+    return base + [(label, n.encode().split(), k.encode().split(), False) for label, (n, k) in NOTICES.items()] + short
 
 
 def document_frequency(docs: DataFrame) -> tuple[dict[bytes, int], int]:
