@@ -1,6 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule's literal tokens are letter and digit runs that any address it matches must hold whole.  The rarest of
+A rule's literal tokens are runs of small letters and digits that its expression bounds on both sides, so any address
+it matches holds them whole; capitals are borders, as in the expressions.  The rarest of
 them over all addresses is the rule's key; an address's tokens fetch candidate rules and only those run their
 expressions.  Only SQL functions; while the rules are few they are a literal map and nothing is shuffled, beyond
 that candidates come from a join on the tokens.
@@ -40,7 +41,7 @@ def host_rule(name: str, verdict: str) -> Rule:
     host, slash, path = name.partition("/")
     parts = path.split("/")
     whole = parts[:-1]  # the last may go on in the address
-    tokens = tuple(t for p in (host, *whole) for t in re.findall("[a-z0-9]+", p.lower()))
+    tokens = tuple(t for p in (host.lower(), *whole) for t in re.findall("[a-z0-9]+", p))
     return Rule(name, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}", verdict, tokens, len(name))
 
 
@@ -59,7 +60,7 @@ PATTERN_RULES = (
     pattern_rule("casino", r"(^|[^a-z0-9])casino([^a-z0-9]|$)", ("casino",)),
     pattern_rule("porn", r"(^|[^a-z0-9])porn([^a-z0-9]|$)", ("porn",)),
     pattern_rule("torrent", r"(^|[^a-z0-9])torrent/", ("torrent",)),
-    pattern_rule("ad-server", r"^ads?\.[^/]*/click", ("click",)),
+    pattern_rule("ad-server", r"^ads?\.[^/]*/click", ()),
     pattern_rule("executable", r"\.(exe|msi)$", ()),
 )
 
@@ -73,7 +74,7 @@ def parts(url: F.Column) -> tuple[F.Column, F.Column]:
 
 
 def tokens_of(place: F.Column) -> F.Column:
-    return F.array_distinct(F.split(F.lower(place), "[^a-z0-9]+"))
+    return F.array_distinct(F.split(place, "[^a-z0-9]+"))
 
 
 def keys_of(rules: tuple[Rule, ...], places: DataFrame) -> dict[str, list[Rule]]:
