@@ -7,7 +7,7 @@ stands for one value of the document and back.  A document is contaminated by an
 at least half of the item's windows.
 
 Edge cases: null or empty texts have no window; an item shorter than a window is one window of its own length;
-windows that are mostly placeholders are left out on both sides; rows that share doc_id and text share a result;
+windows that are mostly placeholders stand for their literal words, which only equal values match; rows that share doc_id and text share a result;
 an empty benchmark contaminates nothing.
 """
 
@@ -32,6 +32,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb ml cl l s sec ms min h
 TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?\n]|\d")
 END, NUMBER, NAME, UNIT = 1, 2, 4, 8
 _CODE = {kind: np.uint64(xxhash.xxh64_intdigest(f"<{kind}>")) for kind in (NUMBER, NAME, UNIT)}
+_LITERAL = np.uint64(xxhash.xxh64_intdigest("<literal>"))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,6 +73,11 @@ class Reader:
         words = np.flatnonzero((kind & END) == 0)
         return code[words], (number | name | unit)[words], tokens, words
 
+    def literal(self, tokens: list[str], words: np.ndarray) -> np.ndarray:
+        """Hashes of the words as they stand, of the text that canonical() read last."""
+        known = self.known
+        return self.code[np.array([known[tokens[i]] for i in words], np.int64)] ^ _LITERAL
+
 
 def window_hashes(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every window of so many words, and whether at least half of it is literal."""
@@ -100,10 +106,14 @@ def _windows(table: DataFrame, sizes: tuple[int, ...] | None, only: np.ndarray |
                     continue
                 for size in sizes or (min(WINDOW, code.size),):
                     hashes, literal = window_hashes(code, slot, size)
+                    hashes = hashes & ~np.int64(1)
+                    if not literal.all():  # mostly placeholders: their words as they stand, told by an odd hash
+                        hashes = np.where(literal, hashes, window_hashes(reader.literal(tokens, places), slot, size)[0] | np.int64(1))
+                    wanted = np.ones(hashes.size, bool)
                     if only is not None:
                         at = np.minimum(np.searchsorted(only, hashes), only.size - 1)
-                        literal &= only[at] == hashes if only.size else False
-                    for i in np.flatnonzero(literal):
+                        wanted = only[at] == hashes if only.size else np.zeros(hashes.size, bool)
+                    for i in np.flatnonzero(wanted):
                         slots = [tokens[places[i + j]].lower() for j in np.flatnonzero(slot[i : i + size])]
                         rows.append((key, text_hash, int(hashes[i]), int(i), slots))
             columns = list(zip(*rows)) if rows else [()] * 5
@@ -124,15 +134,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     found = _windows(keyed(docs, id_column, text_column), (WINDOW, *lengths), only)
     templates = items.select(F.col("key").alias("item_id"), F.col("text_hash").alias("item_hash"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     met = found.distinct().join(templates, "hash")
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("item_slots").alias("t"), F.col("slots").alias("d")))))
+    even = F.col("hash").bitwiseAND(F.lit(1).cast("bigint")) == 0
+    pairs = F.array_distinct(F.flatten(F.collect_list(F.when(even, F.arrays_zip(F.col("item_slots").alias("t"), F.col("slots").alias("d"))))))
     by = ["key", "text_hash", "item_id", "item_hash"]
-    lined = met.groupBy(*by, (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"), pairs.alias("pairs"))
+    lined = met.groupBy(*by, (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("places"), F.collect_set(F.when(even, F.col("item_at"))).alias("even_places"), pairs.alias("pairs"))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.t"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.d")))
     changed = F.exists("pairs", lambda p: p["t"] != p["d"])
-    covered = lined.where(one_to_one).groupBy(*by).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"), F.max(changed).alias("reparameterised"))
-    sizes = templates.groupBy("item_id", "item_hash").agg(F.count("*").alias("n_item_windows"))
-    share = F.col("n_windows") / F.col("n_item_windows")
+    n_places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("bigint")
+    covered = lined.where(one_to_one).groupBy(*by).agg(n_places("places").alias("n_all"), n_places("even_places").alias("n_even"), F.max(changed).alias("reparameterised"))
+    sizes = templates.groupBy("item_id", "item_hash").agg(F.count("*").alias("n_item_all"), F.count(F.when(even, F.lit(1))).alias("n_item_even"))
+    # the canonical windows alone suffice, as do all; else windows that only equal values match would outweigh them
+    canonical = (F.col("n_item_even") > 0) & (F.col("n_even") >= COVER * F.col("n_item_even"))
     joined = covered.join(sizes, (covered.item_id.eqNullSafe(sizes.item_id)) & (covered.item_hash == sizes.item_hash)).drop(sizes.item_id).drop(sizes.item_hash)
+    joined = joined.withColumns({"n_windows": F.when(canonical, F.col("n_even")).otherwise(F.col("n_all")), "n_item_windows": F.when(canonical, F.col("n_item_even")).otherwise(F.col("n_item_all"))})
+    share = F.col("n_windows") / F.col("n_item_windows")
     return joined.where(share >= COVER).select(F.col("key").alias("doc_id"), "text_hash", "item_id", "n_windows", "n_item_windows", share.alias("coverage"), "reparameterised").distinct()
 
 

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from latticework.llm import license, linededup, urlfilter
+from latticework.llm import decontam, license, linededup, urlfilter
 
 
 def test_line_dedup_takes_passages_with_uneven_lines(spark):
@@ -62,3 +62,19 @@ def test_url_rules_against_a_plain_scan(spark, monkeypatch):
     for most in (urlfilter.SMALL, 0):
         monkeypatch.setattr(urlfilter, "SMALL", most)
         assert {r["page_id"]: r["method_rule"] for r in urlfilter.judged(pages).collect()} == want
+
+
+def test_decontamination_of_items_that_are_mostly_placeholders(spark):
+    items = ["Compute 3 + 4 * 12 - 8", "Solve: 12 + 7 - 3 = 16", "Did Marie Curie Meet Albert Einstein In Paris?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = [(i, f"some words before. {x} and some after") for i, x in enumerate(items)] + [(3, "some words before. Compute 5 + 9 * 11 - 2 and some after"), (4, "Did John Smith Meet Mary Jones In London?")]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_decontamination_keeps_changed_items_with_few_plain_windows(spark):
+    item = "Alice walked to the old market and bought 3 7 9 4 8 2 6 5 1 for her"
+    changed = "Then Carol walked to the old market and bought 13 17 19 14 18 12 16 15 11 for her"
+    table = lambda x, c: spark.createDataFrame([(0, x)], f"{c} bigint, text string")
+    found = [(r["doc_id"], r["reparameterised"]) for r in decontam.contaminated(table("Yes. " + changed[5:], "doc_id"), table(item, "item_id")).collect()]
+    assert found == [(0, True)]
