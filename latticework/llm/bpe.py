@@ -5,8 +5,13 @@ adjacent pairs.  The root names the lowest rank, the leftmost leaf that holds it
 are updated, so a piece of n bytes takes O(n log n) however long it is.  The trees of a batch's new pieces of up to
 WIDEST bytes lie side by side in arrays and take their merges in step: one merge a round in every tree.
 
+Words between blanks ("stretches") and pieces are remembered within a task, up to a bound in characters; every text's
+ids are put together from them, and its decoded bytes from its ids.
+
 Edge cases: a null text counts as empty and gives no ids; a special token's own string in a text gives that
-token's id; very long pieces bypass the cache; repeated rows are encoded each on its own.
+token's id; texts and pieces of any length are encoded whole, a long one as a group of its own; repeated rows are
+encoded each on its own, and ties between equal ranks go to the left; an empty table gives no rows; columns other
+than the two named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +20,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +32,26 @@ from .common import arrow_limits, text_or_empty
 
 #: Fixed value: how byte-level vocabularies cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for Python's faster engine, wherever its classes agree with the properties above.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 NO_PAIR = (1 << 31) - 1
-#: A worker forgets its pieces, and its stretches, beyond so many (but those of the last group); longer ones at once.
-CACHE_PIECES, CACHE_STRETCHES, CACHE_CHARS = 1_000_000, 400_000, 48
-#: Characters of texts that are encoded together (at least one text), bytes of the pieces and pieces merged in step.
-GROUP_CHARS, WIDEST, ABREAST = 4_000_000, 64, 8192
+#: A worker forgets its pieces and stretches beyond so many characters, a row counting as ROW_CHARS of them, and when a task ends.
+CACHE_CHARS, ROW_CHARS = 72_000_000, 64
+#: Characters of texts that are encoded together (at least one text), bytes of the pieces and pieces merged in step, ids decoded at once.
+GROUP_CHARS, WIDEST, ABREAST, SLICE = 1_000_000, 64, 8192, 1 << 18
+#: A blank behind which new stretches are cut together; texts that hold it are cut in another way.
+SEPARATOR = "\x0b"
+
+
+@cache
+def _told_apart() -> re.Pattern:
+    """Characters that PLAIN and PATTERN class differently, and all beyond the basic plane."""
+    found = []
+    for begin in range(0, 0x10000, 0x1000):
+        part = "".join(map(chr, range(begin, begin + 0x1000)))
+        sets = [(set(re.findall(x, part)), set(regex.findall(y, part))) for x, y in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s"))]
+        found += sorted(set().union(*(x ^ y for x, y in sets)))
+    return re.compile("[" + "".join(map(re.escape, found)) + "\U00010000-\U0010ffff]")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -57,22 +78,24 @@ class Codec:
             self.made.append(vocab[a + b])
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         names = vocab | self.special
-        self.name_of = [str(i) for i in range(max(names.values()) + 1)]
-        self.bytes_of = [b""] * (max(names.values()) + 1)
+        told = [b""] * (max(names.values()) + 1)
         for token, i in names.items():
             known = all(c in to_byte for c in token)
-            self.bytes_of[i] = bytes(to_byte[c] for c in token) if known else token.encode()
+            told[i] = bytes(to_byte[c] for c in token) if known else token.encode()
+        self.bytes_of, self.names = Ledger(np.uint8), Ledger(np.uint8)
+        for ledger, rows in ((self.bytes_of, told), (self.names, [b"%d," % i for i in range(len(told))])):
+            ledger.add(list(map(str, range(len(rows)))), np.frombuffer(b"".join(rows), np.uint8), np.fromiter(map(len, rows), np.int64, len(rows)))
         self.cut_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or "(?!)")
         self.cut_pieces = regex.compile(PATTERN)
+        self.cut_plain, self.odd = re.compile(PLAIN), _told_apart()
         self.cut_spaces = re.compile(r"(?<=\S)(?= \S)")
+        self.run_of_blanks = re.compile(r" (?<=\s )(?:(?=\s)|\Z)")
         self.byte_ids, self.made_ids = np.array(self.of_byte, np.int32), np.array(self.made, np.int32)
         codes = np.fromiter(self.rank_of.keys(), np.int64, len(self.rank_of))
         order = np.argsort(codes)
         self.codes = np.r_[codes[order], np.iinfo(np.int64).max]
         self.ranks = np.r_[np.fromiter(self.rank_of.values(), np.int32, len(self.rank_of))[order], np.int32(NO_PAIR)]
-        self.known: dict[str, list[int]] = {}
-        self.named: dict[str, str] = {}  # the ids of known, joined by commas
-        self.pieces: dict[str, list[int]] = {}
+        self.forget()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece.  low is the tree: low[1] the root, low[width + i] the rank of the pair at symbol i."""
@@ -142,8 +165,9 @@ class Codec:
         at = np.searchsorted(self.codes, codes)
         return np.where(self.codes[at] == codes, self.ranks[at], np.int32(NO_PAIR))
 
-    def merge_abreast(self, pieces: list[bytes], width: int) -> list[list[int]]:
-        """merge() of many pieces of 2 to width bytes, width a power of two; column width stands for no neighbour."""
+    def merge_abreast(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many pieces of 2 to width bytes, width a power of two; column width stands for no neighbour.
+        Gives the ids one piece after the other, and how many each has."""
         m, w = len(pieces), width
         sizes = np.fromiter(map(len, pieces), np.int64, m)
         symbols = np.full((m, w + 1), -1, np.int32)
@@ -188,77 +212,159 @@ class Codec:
                 under = root + 2 * nodes
                 tree[root + nodes] = np.minimum(tree[under], tree[under + 1])
         left = symbols >= 0
-        ids, ends = symbols[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
-
-    def meet_pieces(self, pieces: set[str]) -> None:
-        """Merge pieces that aren't remembered."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces:
-            piece = p.encode()
-            if 2 <= len(piece) <= WIDEST:
-                by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append((p, piece))
-            else:
-                self.pieces[p] = self.merge(piece)
-        for width, found in by_width.items():
-            for i in range(0, len(found), ABREAST):
-                part = found[i : i + ABREAST]
-                self.pieces.update(zip([p for p, _ in part], self.merge_abreast([piece for _, piece in part], width)))
-
-    def meet(self, stretches: set[str]) -> None:
-        """Ids of stretches that aren't remembered, and the same joined by commas."""
-        cut = [(s, self.cut_pieces.findall(s)) for s in stretches if s not in self.special]
-        used = set(chain.from_iterable(p for _, p in cut))
-        self.meet_pieces(used - self.pieces.keys())
-        pieces, name_of = self.pieces, self.name_of
-        for s, ps in cut:
-            ids = pieces[ps[0]] if len(ps) == 1 else list(chain.from_iterable([pieces[p] for p in ps]))
-            self.known[s], self.named[s] = ids, ",".join([name_of[i] for i in ids])
-        for s in self.special.keys() & stretches:
-            self.known[s], self.named[s] = [self.special[s]], name_of[self.special[s]]
-        self.pieces = self.remembered(self.pieces, used, CACHE_PIECES)
-
-    @staticmethod
-    def remembered(held: dict, used: set[str], most: int) -> dict:
-        if len(held) > most:
-            held = {x: held[x] for x in used}
-        for x in [x for x in used if len(x) > CACHE_CHARS]:
-            held.pop(x, None)
-        return held
-
-    def stretches(self, text: str) -> list[str]:
+        return symbols[left], left.sum(axis=1)
+
+    def meet_pieces(self, pieces: list[str]) -> None:
+        """Merge pieces that aren't remembered and remember them."""
+        if not pieces:
+            return
+        encoded = [p.encode() for p in pieces]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        order = np.argsort(sizes, kind="stable")
+        short = order[np.searchsorted(sizes[order], 2) : np.searchsorted(sizes[order], WIDEST, "right")]
+        rest = np.setdiff1d(order, short).tolist()
+        self.pieces.add([pieces[i] for i in rest], *_flat([self.merge(encoded[i]) for i in rest]))
+        for i in range(0, short.size, ABREAST):
+            part = short[i : i + ABREAST]
+            width = 1 << int(sizes[part[-1]] - 1).bit_length()
+            part = part.tolist()
+            self.pieces.add([pieces[i] for i in part], *self.merge_abreast([encoded[i] for i in part], width))
+
+    def meet(self, stretches: list[str]) -> None:
+        """Cut stretches that aren't remembered into pieces and remember their ids.
+
+        Most are cut in one go, behind a blank that no text here holds; those that begin or end with blanks, which would
+        run together with it, are cut on their own.
+        """
+        whole = [s for s in stretches if s in self.special]
+        alone = [s for s in stretches if s not in self.special and (SEPARATOR in s or s[-1].isspace() or s[:2].isspace())]
+        apart = {*whole, *alone}
+        together = [s for s in stretches if s not in apart]
+        if whole:
+            self.stretches.add(whole, *_flat([self.special[s]] for s in whole))
+        if together:
+            joined = SEPARATOR.join(together)
+            pieces = (self.cut_pieces if self.odd.search(joined) else self.cut_plain).findall(joined)
+            self._remember(together, pieces, np.flatnonzero(np.fromiter(map(SEPARATOR.__eq__, pieces), bool, len(pieces))))
+        for s in alone:
+            self._remember([s], self.cut_pieces.findall(s), np.empty(0, np.int64))
+
+    def _remember(self, stretches: list[str], pieces: list[str], cuts: np.ndarray) -> None:
+        """The stretches lie one after the other in pieces, at cuts the blanks between them."""
+        index = self.pieces.index
+        new = set(pieces).difference(index)
+        if cuts.size:
+            new.discard(SEPARATOR)
+        self.meet_pieces(list(new))
+        if cuts.size:
+            kept = np.ones(len(pieces), bool)
+            kept[cuts] = False
+            at = np.fromiter(map(index.get, pieces, repeat(0)), np.int64, len(pieces))[kept]
+            bounds = np.r_[0, cuts - np.arange(cuts.size), at.size]
+        else:
+            at, bounds = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces)), np.array([0, len(pieces)])
+        ids, ends = self.pieces.gather(at)
+        self.stretches.add(stretches, ids, np.diff(np.r_[0, ends][bounds]))
+
+    def cut(self, text: str) -> list[str]:
         """The text cut where no piece crosses: around special tokens, and before a single space between two other
         characters, which always begins a piece."""
         found, begin = [], 0
         for m in chain(self.cut_special.finditer(text), [None]):
             part = text[begin : m.start()] if m else text[begin:]
             if part:
-                found += self.cut_spaces.split(part)
+                if SEPARATOR in part or self.run_of_blanks.search(part):
+                    found += self.cut_spaces.split(part)
+                else:
+                    parts = part.replace(" ", SEPARATOR + " ").split(SEPARATOR)
+                    found += parts if parts[0] else parts[1:]
             if m:
                 found.append(m[0])
                 begin = m.end()
         return found
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """(ids, ids joined by commas) of each text, some texts at a time."""
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, some texts at a time."""
         begin = 0
         while begin < len(texts):
             size, stop = len(texts[begin]), begin + 1
             while stop < len(texts) and size + len(texts[stop]) <= GROUP_CHARS:
                 size, stop = size + len(texts[stop]), stop + 1
-            cut = [self.stretches(t) for t in texts[begin:stop]]
-            used = set().union(*cut)
-            self.meet(used - self.known.keys())
-            for c in cut:
-                yield list(chain.from_iterable(map(self.known.__getitem__, c))), ",".join(map(self.named.__getitem__, c))
-            self.known, self.named = (self.remembered(x, used, CACHE_STRETCHES) for x in (self.known, self.named))
+            stretches, counts = [], [0]
+            for t in texts[begin:stop]:
+                stretches += self.cut(t)
+                counts.append(len(stretches))
+            if self.stretches.chars + self.pieces.chars > CACHE_CHARS:
+                self.forget()
+            self.meet(list(set(stretches).difference(self.stretches.index)))
+            ids, ends = self.stretches.gather(np.fromiter(map(self.stretches.index.__getitem__, stretches), np.int64, len(stretches)))
+            bounds = np.r_[0, ends][counts].tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                yield ids[a:b]
             begin = stop
 
+    def forget(self) -> None:
+        self.stretches, self.pieces = Ledger(np.int32), Ledger(np.int32)
+
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_all([text]))[0]
+        return next(self.encode_all([text])).tolist()
+
+    def digest_of(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decimal ids joined by commas."""
+        digest = hashlib.sha256()
+        for i in range(0, ids.size, SLICE):
+            told = self.names.gather(ids[i : i + SLICE])[0]
+            digest.update(told if i + SLICE < ids.size else told[:-1])
+        return digest.hexdigest()
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the decoded text: the ids' own bytes, or where those aren't valid what decoding makes of them."""
+        told = b"".join(self.bytes_of.gather(ids[i : i + SLICE])[0].tobytes() for i in range(0, ids.size, SLICE))
+        try:
+            told.decode()
+        except UnicodeDecodeError:
+            return told.decode("utf-8", "replace").encode()
+        return told
+
+    def decode(self, ids) -> str:
+        return self.decoded(np.asarray(ids, np.int64)).decode()
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after the other, and their sizes."""
+    lists = list(lists)
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
+
+
+class Ledger:
+    """Rows of numbers by key, one after the other in an array that grows."""
+
+    def __init__(self, dtype):
+        self.index: dict[str, int] = {}
+        self.starts, self.sizes = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.values, self.used, self.chars = np.empty(1024, dtype), 0, 0
+
+    def add(self, keys: list[str], values: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows of keys that aren't there yet."""
+        n, m = len(self.index), len(self.index) + len(keys)
+        if m > self.starts.size:
+            self.starts, self.sizes = (np.r_[x[:n], np.empty(m, np.int64)] for x in (self.starts, self.sizes))
+        if self.used + values.size > self.values.size:
+            self.values = np.r_[self.values[: self.used], np.empty(self.used + values.size, self.values.dtype)]
+        self.values[self.used : self.used + values.size] = values
+        self.sizes[n:m] = sizes
+        self.starts[n:m] = self.used + np.cumsum(sizes) - sizes
+        self.used += values.size
+        self.chars += sum(map(len, keys)) + ROW_CHARS * len(keys)
+        self.index.update(zip(keys, range(n, m)))
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows one after the other, and where each ends."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if ends.size else 0
+        return self.values[np.repeat(self.starts[rows] - ends + sizes, sizes) + np.arange(n)], ends
 
 
 _codecs: dict[str, Codec] = {}
@@ -277,20 +383,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
-            n_tokens, of_ids, of_text, all_ids = [], [], [], []
-            for ids, joined in own.encode_all([text_or_empty(t) for t in batch.column(1).to_pylist()]):
-                n_tokens.append(len(ids))
-                of_ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                of_text.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+        try:
+            for batch in batches:
+                n_tokens, of_ids, of_text, all_ids = [], [], [], []
+                for ids in own.encode_all([text_or_empty(t) for t in batch.column(1).to_pylist()]):
+                    n_tokens.append(ids.size)
+                    of_ids.append(own.digest_of(ids))
+                    of_text.append(hashlib.sha256(own.decoded(ids)).hexdigest())
+                    if with_ids:
+                        all_ids.append(ids)
+                columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    all_ids.append(ids)
-            columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            own.forget()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(docs[id_column].cast("bigint"), docs[text_column].cast("string")).mapInArrow(run, schema)

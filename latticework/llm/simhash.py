@@ -125,11 +125,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 def with_components(fps: DataFrame) -> DataFrame:
     """fps(doc_id, fp, ...) with component_id, the smallest doc_id that links reach."""
-    spark = fps.sparkSession
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     roots, _ = components(links(least.select("fp")))
-    arrow_limits(spark)
     root = F.coalesce("root", "fp").alias("root")
     of_fp = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", root, "least")
     of_root = of_fp.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id") -> N
 
 def read_archives(spark, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, date of each record in the archives."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    arrow_limits(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
