@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, get_adjacency, weights
-from .loops import settled
+from ..graph import Graph, get_adjacency
+from .loops import remove, settled, watched
 
 
 def spmv(edges: DataFrame, x: DataFrame) -> DataFrame:
@@ -21,54 +21,107 @@ def normalized_rows(graph: Graph) -> DataFrame:
     return graph.edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight"))
 
 
-def pagerank(graph: Graph, damping_factor: float = 0.85, n_iter: int = 10, seeds: DataFrame | None = None) -> DataFrame:
-    """(id, score).  seeds(id, value) default to all nodes, or the rows of a bipartite graph.
+SOLVERS = ("piteration", "diteration", "push", "RH", "bicgstab", "lanczos")
 
-    x becomes a P'x + b sum(x) with b = (1 - a [out-degree > 0]) s.  The map is linear, so one normalisation at the
-    end equals one a round.
+
+def pagerank(graph: Graph, damping_factor: float = 0.85, n_iter: int = 10, seeds: DataFrame | None = None, tol: float = 1e-6, solver: str = "piteration") -> DataFrame:
+    """(id, score).  seeds(id, value) default to all nodes, or the rows of a bipartite graph; negative values count as 0.
+
+    piteration: x becomes a P'x + b sum(x) with b = (1 - a [out-degree > 0]) s, n_iter times at most; it stops at the round
+    before the one whose normalised change is below tol.  The map is linear, so one normalisation at the end equals one a
+    round.  lanczos: the same up to its fixed point.  The others add up walks: RH up to n_iter steps from s; diteration and push
+    until what still moves is below tol (diteration at most n_iter steps); bicgstab from b, the solution of (I - a P')x = b.
     """
+    if solver not in SOLVERS:
+        raise ValueError(f"no such solver: {solver}")
     square = get_adjacency(graph)
     if seeds is None:
         seeds = square.nodes.select("id", (F.col("id") < graph.n_row).cast("double").alias("value"))
+    seeds = seeds.select("id", F.greatest("value", F.lit(0.0)).alias("value"))
     total = seeds.agg(F.sum("value")).first()[0] or 1.0
-    out = weights(square)
-    b = square.nodes.join(seeds, "id", "left").join(out, "id").select("id", (F.coalesce("value", F.lit(0.0)) / total * (1 - damping_factor * (F.col("weight") > 0).cast("int"))).alias("b"))
-    b = settled(b)
-    turned = settled(normalized_rows(square).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    x = b.select("id", F.col("b").alias("value"))
-    for _ in range(n_iter):
-        mass = x.agg(F.sum("value").alias("mass"))  # one row
-        moved = spmv(turned, x).withColumnRenamed("value", "moved")
-        x = settled(b.join(moved, "id", "left").crossJoin(F.broadcast(mass)).select("id", (damping_factor * F.coalesce("moved", F.lit(0.0)) + F.col("b") * F.col("mass")).alias("value")))
+    edges = settled(square.edges)
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out"))
+    start = square.nodes.join(seeds, "id", "left").join(out, "id", "left").select("id", (F.coalesce("value", F.lit(0.0)) / total).alias("s"), F.coalesce("out", F.lit(0.0)).alias("out"))
+    leads = (F.col("out") > 0).cast("int")
+    start = settled(start.select("id", "s", (F.col("s") * (1 - damping_factor * leads)).alias("b"), leads.alias("leads")))
+    told = edges.join(out.where("out != 0"), F.col("src") == F.col("id")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (damping_factor * F.col("weight") / F.col("out")).alias("weight"))
+    turned = settled(told, old=edges)
+    if solver in ("piteration", "lanczos"):
+        x = _iterated(turned, start, damping_factor, n_iter if solver == "piteration" else 10_000, tol)
+    else:
+        first = {"RH": F.col("s"), "bicgstab": F.col("b")}.get(solver, (1 - damping_factor) * F.col("s"))
+        x = _walks(turned, start.select("id", first.alias("value")), n_iter if solver in ("RH", "diteration") else None, 0.0 if solver == "RH" else tol)
     total = x.agg(F.sum("value")).first()[0] or 1.0
     return x.select("id", (F.col("value") / total).alias("score"))
 
 
+def _iterated(turned: DataFrame, start: DataFrame, damping_factor: float, n_iter: int, tol: float) -> DataFrame:
+    """Each round is one job: a join of the edges with the vector, a sum by node, and sums over the vector while it is written.
+
+    What a round's vector adds up to follows from the round before: a times what lies on nodes with successors, plus b's share.
+    """
+    x = start.select("id", F.col("b").alias("value"), "leads")
+    mass, moving = start.agg(F.sum("b"), F.sum(F.col("b") * F.col("leads"))).first()
+    share, mass, moving = mass or 0.0, mass or 1.0, moving or 0.0
+    for _ in range(n_iter):
+        after = damping_factor * moving + share * mass or 1.0
+        moved = spmv(turned, x.select("id", "value")).withColumnRenamed("value", "moved")
+        told = start.join(moved, "id", "left").join(x.select("id", F.col("value").alias("before")), "id")
+        told = told.select("id", (F.coalesce("moved", F.lit(0.0)) + F.col("b") * mass).alias("value"), "leads", "before")
+        y, seen = watched(told, moving=F.col("value") * F.col("leads"), change=F.abs(F.col("value") / after - F.col("before") / mass))
+        if tol and seen["change"] < tol:
+            break
+        if path := getattr(x, "_state_path", None):
+            remove(x.sparkSession, path)
+        x, mass, moving = y, after, seen["moving"]
+    return x.select("id", "value")
+
+
+def _walks(turned: DataFrame, first: DataFrame, n_iter: int | None, tol: float) -> DataFrame:
+    """The sum over k of (a P')^k first, up to n_iter or until the last term's sum is below tol."""
+    both, done = first.select("id", "value", F.col("value").alias("sum")), 0
+    while n_iter is None or done < n_iter:
+        moved = spmv(turned, both.select("id", "value")).withColumnRenamed("value", "moved")
+        new = F.coalesce("moved", F.lit(0.0))
+        both, seen = watched(both.join(moved, "id", "left").select("id", new.alias("value"), (F.col("sum") + new).alias("sum")), old=both, left="value")
+        done += 1
+        if tol and seen["left"] < tol:
+            break
+    return both.select("id", F.col("sum").alias("value"))
+
+
 def katz(graph: Graph, damping_factor: float = 0.5, path_length: int = 4) -> DataFrame:
     """(id, score): sum over k of a^k times the paths of k edges that end at the node."""
     square = get_adjacency(graph)
     turned = square.edges.where("weight != 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("weight"))
-    x = square.nodes.select("id", F.lit(1.0).alias("value"))
-    score = square.nodes.select("id", F.lit(0.0).alias("score"))
+    turned = settled(turned)
+    both = square.nodes.select("id", F.lit(1.0).alias("value"), F.lit(0.0).alias("score"))
     for _ in range(path_length):
-        step = square.nodes.join(spmv(turned, x), "id", "left").select("id", (damping_factor * F.coalesce("value", F.lit(0.0))).alias("value"))
-        both = settled(score.join(step, "id").select("id", "value", (F.col("score") + F.col("value")).alias("score")))
-        x, score = both.select("id", "value"), both.select("id", "score")
-    return score
+        moved = spmv(turned, both.select("id", "value")).withColumnRenamed("value", "moved")
+        new = damping_factor * F.coalesce("moved", F.lit(0.0))
+        both = settled(both.join(moved, "id", "left").select("id", new.alias("value"), (F.col("score") + new).alias("score")), old=both)
+    return both.select("id", "score")
 
 
-def hits(graph: Graph, n_iter: int = 30) -> DataFrame:
+def hits(graph: Graph, n_iter: int = 100, tol: float = 1e-12) -> DataFrame:
     """(part, id, score): hubs (rows) and authorities (columns), the leading singular pair by power iteration."""
-    a = graph.edges.sparkSession.range(graph.n_col).select("id", F.lit(1.0).alias("value"))
-    turned = graph.transpose().edges
+    edges = settled(graph.edges)
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    a, h, told = graph.edges.sparkSession.range(graph.n_col).select("id", F.lit(1.0).alias("value")), None, 0.0
 
-    def unit(x: DataFrame) -> DataFrame:
-        norm = x.agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("norm"))
-        return settled(x.crossJoin(F.broadcast(norm)).select("id", (F.col("value") / F.col("norm")).alias("value")))
+    def unit(x: DataFrame, old: DataFrame | None) -> tuple[DataFrame, float]:
+        x, seen = watched(x, old, square=F.col("value") ** 2)
+        norm = seen["square"] ** 0.5 or 1.0
+        y = x.select("id", (F.col("value") / norm).alias("value"))
+        y._state_path = x._state_path
+        return y, norm
 
     for _ in range(n_iter):
-        h = unit(spmv(graph.edges, a))
-        a = unit(spmv(turned, h))
+        h, _ = unit(spmv(edges, a), h)
+        a, norm = unit(spmv(turned, h), a)
+        if abs(norm - told) <= tol * norm:  # the singular value is stable
+            break
+        told = norm
     parts = []
     for name, x, n in (("row", h, graph.n_row), ("col", a, graph.n_col)):
         nodes = graph.edges.sparkSession.range(n)

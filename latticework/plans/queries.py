@@ -79,7 +79,7 @@ SELECT id - (SELECT n FROM np) AS supplier, round(v / (SELECT sum(v) FROM x10),
 @query(PAGERANK)
 def rk01_pagerank_top_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = part_supplier(spark, sf_dir)
-    scores = ranking.pagerank(graph).where(F.col("id") >= graph.n_row)
+    scores = ranking.pagerank(graph, tol=0).where(F.col("id") >= graph.n_row)
     return rounded(ranking.top_k(scores, 10).select((F.col("id") - graph.n_row).alias("supplier"), "score"), "score")
 
 
