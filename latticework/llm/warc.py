@@ -9,7 +9,8 @@ Records with equal payloads of at least MIN_REVISIT bytes: the largest id is the
 
 Edge cases: null html is an empty payload, a null url the address "-"; blanks in addresses are percent-encoded;
 rows that tie on the largest id are all responses; a null id is never the largest while another is there;
-payloads may hold header lines or separators, as only lengths are trusted.
+payloads may hold header lines or separators, as only lengths are trusted; very large payloads get files of their own;
+an empty table gives no records; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, new_path
 
 MIN_REVISIT = 1000
-#: Records of an archive file; a reader holds one file at a time.
-FILE_RECORDS = 1000
+#: Bytes of a payload up to which so many records share an archive file; a reader holds one file at a time.
+FILE_RECORDS = ((64_000, 1000), (1_000_000, 64), (1 << 40, 1))
+#: Tasks that the copies of one payload are dealt out to.
+SALTS = 16
 #: The fields of a header line, by ARC version.
 FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
@@ -136,23 +139,33 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id") -> N
     """ARC records of pages(page_id, url, html), converted, as WARC files in path."""
     arrow_limits(pages.sparkSession)
     rows = pages.select(pages[id_column].cast("bigint").alias("page_id"), F.coalesce(pages["url"].cast("string"), F.lit("-")).alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    same = [F.sha1("html").alias("sha"), F.octet_length("html").alias("size")]
-    many = rows.select("page_id", *same).where(F.col("size") >= MIN_REVISIT).groupBy("sha", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = rows.select("*", *same).join(many, ["sha", "size"], "left")
+    size = F.octet_length("html")
+    many = rows.select("page_id", F.sha1("html").alias("sha"), size.alias("size")).where(F.col("size") >= MIN_REVISIT).groupBy("sha", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # small payloads meet nothing and are dealt out by row, large ones by payload and salt, so no payload's copies share one task
+    many = many.select("sha", "size", "response", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    at = F.xxhash64("page_id", "url")
+    told = rows.select("*", F.when(size >= MIN_REVISIT, F.sha1("html")).otherwise(F.hex(at)).alias("sha"), size.alias("size"), F.pmod(at, F.lit(SALTS)).alias("salt"))
+    told = told.join(many, ["sha", "size", "salt"], "left")
     revisits = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    told = told.select("page_id", "url", "html", F.when(revisits, F.col("response")).alias("refers_to"))
+    told = told.select("page_id", "url", "html", "size", F.when(revisits, F.col("response")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, _, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 address = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
                 legacy = arc_record(address or "-", html.encode(), 1 + (page_id or 0) % 2)
                 key = "-" if page_id is None else str(page_id)
                 out += [to_warc(r, key, None if refers_to is None else str(refers_to)).decode() for r in parse_arc(legacy)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    told.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    largest = rows.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low = -1
+    for high, records in FILE_RECORDS:
+        if low < largest:  # a file holds so many records that its payloads stay within a bound
+            part = told.where((F.col("size") > low) & (F.col("size") <= high))
+            part.mapInArrow(run, "value string").write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        low = high
 
 
 def read_archives(spark, path: str) -> DataFrame:
