@@ -2,21 +2,25 @@ r"""Line dedup by chunks of lines that an earlier document, or an earlier place,
 
 Each line is hashed, and a hash rolls over the hashes of two neighbouring lines; every such pair is a chunk, so an
 insertion shifts none further on and a repeated passage is found whole wherever it stands and whatever its lines'
-other occurrences.  A single line of at least LONG_LINE words is a chunk too.  Chunks whose hash occurs more than
-once are fetched and compared byte by byte; of equal chunks the first (smallest doc_id, then earliest line) stays,
-the lines of the others go.  The first occurrence of a line is in no later chunk, so every line stays somewhere.
+other occurrences.  A single line of at least LONG_LINE words is a chunk too.  The lines of chunks whose hash occurs more than
+once are fetched and compared byte by byte: should two different lines share their 128 bits, chunks of theirs are left alone.
+Of equal chunks the first (smallest doc_id, then earliest line) stays, the lines of the others go.  The first occurrence of a
+line is in no later chunk, so every line stays somewhere.
 
 Only DataFrame functions.  Edge cases: a null text stays null; lines that occur once are never touched; rows with
 the same doc_id and text are one document and get the same text back; a null doc_id counts as smaller than any;
 blank lines are neutral: neighbours are the lines that aren't blank, and blank ones between two that go go too; a
-text all of whose lines go becomes the empty string.  n_removed_chunks counts contiguous stretches.
+text all of whose lines go becomes the empty string; very long texts are taken whole, a line at a time; an empty table gives
+no rows; other columns stay, whatever their names.  n_removed_chunks counts contiguous stretches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words that make a single line worth removing.
 LONG_LINE = 50
 
@@ -28,11 +32,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, begin, n_lines, h1, h2): every pair of neighbouring lines, and every long line."""
+    """(k1, k2, doc_id, begin, n_lines, x, y, h1, h2): every pair of neighbouring lines, and every long line; x and y its lines' hashes."""
     blank = lambda x: F.translate(x, " \t\r\x0b\x0c", "") == ""
     told = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), F.when(~blank(x), F.xxhash64(x)).alias("h"), F.when(~blank(x), F.xxhash64(F.lit(7), x)).alias("g"), F.size(F.split(F.trim(x), "[ \t\r]+")).alias("words")))
     lines = keyed.where(F.col("text").isNotNull()).select("k1", "k2", "doc_id", F.filter(told, lambda x: x["h"].isNotNull()).alias("lines"))
-    span = lambda x, y, mark: F.struct(x["at"].alias("begin"), (y["at"] - x["at"] + 1).cast("bigint").alias("n_lines"), F.xxhash64(F.lit(mark), x["h"], y["h"]).alias("h1"), F.xxhash64(F.lit(mark), x["g"], y["g"]).alias("h2"))
+    span = lambda x, y, mark: F.struct(x["at"].alias("begin"), (y["at"] - x["at"] + 1).alias("n_lines"), x["h"].alias("x"), y["h"].alias("y"), F.xxhash64(F.lit(mark), x["h"], y["h"]).alias("h1"), F.xxhash64(F.lit(mark), x["g"], y["g"]).alias("h2"))
     but_last = F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0)))
     pairs = F.zip_with(but_last, F.slice("lines", F.lit(2), F.size("lines")), lambda x, y: span(x, y, 2))
     long_lines = F.transform(F.filter("lines", lambda x: x["words"] >= LONG_LINE), lambda x: span(x, x, 1))
@@ -47,53 +51,49 @@ def _rows(docs: DataFrame) -> DataFrame:
     return named.select("*", F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, F.lit(7), doc_id).alias("k2"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """(k1, k2, gone): for each document, array<struct(begin, n_lines)> of the chunks that an earlier one repeats."""
-    chunks = _chunks(_keyed(docs))
-    # how often a hash occurs is told beside each chunk without gathering the copies: counts first, then a join
-    many = chunks.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    spans = chunks.join(many, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "n_lines", "h1", "h2")).alias("spans"))
-    rows = _rows(docs)
-    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
-    # reading every column here keeps this exchange equal to the one in deduplicated(), so Spark deals out the texts once
-    rest = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns if c.startswith("c") and c != f"c{docs.columns.index('text')}"])) * 0
-    texts = rows.join(spans, ["k1", "k2"])
-    bodies = texts.select("k1", "k2", doc_id.cast("bigint").alias("doc_id"), F.split(text.cast("string"), "\n", -1).alias("lines"), rest.alias("rest"), F.explode("spans").alias("s"))
-    bodies = bodies.select("k1", "k2", "doc_id", (F.col("s.begin") + F.col("rest")).alias("begin"), "s.n_lines", "s.h1", "s.h2", F.concat(F.get("lines", F.col("s.begin")), F.lit("\n"), F.get("lines", F.col("s.begin") + F.col("s.n_lines").cast("int") - 1)).alias("body"))
+    chunks, _ = written(_chunks(_keyed(docs)), "chunks")
+    # how often a hash occurs, and where first, is counted before it is told beside each chunk: no task gathers the copies
     place = F.struct("doc_id", "k1", "k2", "begin", "n_lines")
-    first = bodies.groupBy("h1", "h2", "body").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")  # byte comparison
-    # the bodies that are equal to one that was compared; their hashes and digest stand for them from here on
-    first = first.select("h1", "h2", F.sha2("body", 256).alias("digest"), "first")
-    gone = bodies.select("k1", "k2", "doc_id", "begin", "n_lines", "h1", "h2", F.sha2("body", 256).alias("digest")).join(first, ["h1", "h2", "digest"])
+    many = chunks.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     # a chunk that overlaps the first one, as in three equal lines, is part of it
     apart = (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("begin") >= F.col("first.begin") + F.col("first.n_lines"))
-    gone = gone.where(apart).select("k1", "k2", "begin", (F.col("begin") + F.col("n_lines")).alias("stop"))
-    by_doc = Window.partitionBy("k1", "k2").orderBy("begin", "stop")
-    before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    gone = gone.withColumn("fresh", F.coalesce(F.col("begin") > before, F.lit(True)).cast("int")).withColumn("stretch", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    gone = gone.groupBy("k1", "k2", "stretch").agg(F.min("begin").alias("begin"), (F.max("stop") - F.min("begin")).alias("n_lines"))
-    return gone.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "n_lines")).alias("gone"))
+    met, _ = written(chunks.join(many, ["h1", "h2"]).select("k1", "k2", "begin", "n_lines", "x", "y", apart.alias("apart")), "repeated")
+    for side in ("x", "y"):
+        other = _different(docs, met).select(F.col("h").alias(side))
+        # lines whose 128 bits agree and whose bytes don't: fewer than one is expected among 2^64 lines
+        met = met.join(F.broadcast(other), side, "left_anti")
+    return met.where("apart").groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "n_lines")).alias("gone"))
 
 
-def _kept_text() -> F.Column:
-    """The text without the lines of the spans in gone, which never overlap: the lines between them are sliced out."""
-    lines = F.split("text", "\n", -1)
-    spans = F.array_sort("gone")
-    edges = F.concat(F.array(F.struct(F.lit(0).alias("begin"), F.lit(0).cast("bigint").alias("n_lines"))), spans)
-    ends = F.transform(edges, lambda s: (s["begin"] + s["n_lines"]).cast("int"))
-    begins = F.concat(F.transform(spans, lambda s: s["begin"].cast("int")), F.array(F.size(lines)))
-    between = F.zip_with(ends, begins, lambda e, b: F.slice(lines, e + 1, F.greatest(b - e, F.lit(0))))
-    return F.array_join(F.flatten(between), "\n")
+def _different(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(h): hashes of lines in repeated chunks that are equal but for their bytes."""
+    wanted = met.groupBy("k1", "k2").agg(F.collect_set("begin").alias("begins"), F.collect_set(F.col("begin") + F.col("n_lines") - 1).alias("ends"))
+    rows = _rows(docs)
+    text = f"c{docs.columns.index('text')}"
+    # reading every column here keeps this exchange equal to the one in deduplicated(), so Spark deals out the texts once
+    rest = F.length(F.concat_ws("", *[F.col(c).cast("string") for c in rows.columns if c.startswith("c") and c != text])) * 0
+    bound = F.array(F.split(F.col(text).cast("string"), "\n", -1))  # one element, so that the text is split once
+    lines = F.flatten(F.transform(bound, lambda split: F.transform(F.array_union("begins", "ends"), lambda i: F.get(split, i + F.col("rest").cast("int")))))
+    each = rows.join(wanted, ["k1", "k2"]).withColumn("rest", F.coalesce(rest, F.lit(0))).select(F.explode(lines).alias("line"))
+    each = each.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), "line").agg(F.count("*").alias("copies"))
+    return each.groupBy("h", "g").agg(F.count("*").alias("lines")).where("lines > 1").select("h")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(row struct of docs' columns, clean text, n_removed_lines, n_removed_chunks) of every row."""
-    joined = _rows(docs).join(repeated_chunks(docs), ["k1", "k2"], "left")
+    joined = _rows(docs).join(repeated_lines(docs), ["k1", "k2"], "left")
     text = F.col(f"c{docs.columns.index('text')}").cast("string")
     row = F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    joined = joined.select(row.alias("row"), "gone", text.alias("text"))
-    n_lines = F.coalesce(F.aggregate("gone", F.lit(0).cast("bigint"), lambda s, x: s + x["n_lines"]), F.lit(0))
-    return joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_kept_text()).alias("clean"), n_lines.cast("bigint").alias("n_removed_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed_chunks"))
+    numbers = F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s["begin"], s["begin"] + s["n_lines"] - 1))))
+    joined = joined.select(row.alias("row"), text.alias("text"), numbers.alias("gone"))
+    bound = F.array(F.split("text", "\n", -1))
+    kept = F.transform(bound, lambda split: F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")), lambda i: F.get(split, i)))
+    stretches = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
+    clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(kept), "\n"))
+    count = lambda c: F.when(F.col("gone").isNull(), 0).otherwise(c).cast("bigint")
+    return joined.select("row", clean.alias("clean"), count(F.size("gone")).alias("n_removed_lines"), count(stretches).alias("n_removed_chunks"))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
