@@ -1 +1 @@
-"""Graph analytics on Spark DataFrames."""
+"""Scalar functions: columns in, columns out, all inside Spark's own expressions."""

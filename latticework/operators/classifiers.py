@@ -51,8 +51,8 @@ def pagerank_classifier(graph: Graph, seeds: DataFrame, damping_factor: float =
     return square.nodes.join(share, "id", "left").select("id", F.coalesce("label", F.lit(least)).alias("label"), F.coalesce("prob", F.lit(0.0)).alias("prob"))
 
 
-def diffusion_classifier(graph: Graph, seeds: DataFrame, n_iter: int = 10, scale: float = 5.0) -> DataFrame:
-    """(id, label, prob): heat from each class's seeds, centred by class, hottest class and its softmax share.
+def diffusion_classifier(graph: Graph, seeds: DataFrame, n_iter: int = 10, scale: float = 5.0, centering: bool = True) -> DataFrame:
+    """(id, label, prob): heat from each class's seeds, centred by class unless told not to, hottest class and its softmax share.
 
     Nodes that no path from a seed reaches have label -1 and prob 0.  The starting heat of unlabelled nodes is the same
     for every class and cancels from both results, so only what comes from seeds is spread, and it stays sparse.
@@ -64,7 +64,7 @@ def diffusion_classifier(graph: Graph, seeds: DataFrame, n_iter: int = 10, scale
     x = hot
     for _ in range(n_iter):
         x = settled(_step(p, x).unionByName(hot))
-    mean = settled(known.select("label").distinct().join(x.groupBy("label").agg(F.sum("value").alias("heat")), "label", "left").select("label", (F.coalesce("heat", F.lit(0.0)) / square.n).alias("mean")))
+    mean = settled(known.select("label").distinct().join(x.groupBy("label").agg(F.sum("value").alias("heat")), "label", "left").select("label", (F.coalesce("heat", F.lit(0.0)) / square.n if centering else F.lit(0.0)).alias("mean")))
     # a class that doesn't reach a node has minus its mean there; the best such class and the sum are one row
     cold = mean.agg(F.min(F.struct(F.round("mean", 12), "label", "mean")).alias("m"), F.sum(F.exp(-scale * F.col("mean"))).alias("total"))
     cold = cold.select(F.col("m.label").alias("cold_label"), (-F.col("m.mean")).alias("cold_value"), "total")
@@ -80,22 +80,23 @@ def diffusion_classifier(graph: Graph, seeds: DataFrame, n_iter: int = 10, scale
     return all_nodes.select("id", label.cast("bigint").alias("label"), prob.alias("prob"))
 
 
-def propagation(graph: Graph, seeds: DataFrame, n_iter: int = 10, weighted: bool = True) -> DataFrame:
+def propagation(graph: Graph, seeds: DataFrame, n_iter: int = -1, weighted: bool = True) -> DataFrame:
     """(id, label): rounds in which every unlabelled node takes its neighbours' heaviest label, ties to the smallest.
 
-    Synchronous: all nodes vote at once on the labels of the round before.  -1 where no vote arrived.
+    Synchronous: all nodes vote at once on the labels of the round before, until no label changes, n_iter rounds have passed
+    or, as labels may swing to and fro where all vote at once, the labels of two rounds before are back.  -1 where no vote arrived.
     """
     square = get_adjacency(graph)
     known = settled(seeds.where("label >= 0").select("id", F.col("label").cast("bigint")))
     free = square.edges.join(known.select(F.col("id").alias("src")), "src", "left_anti")
     free = settled(free.select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight")))
-    x = known
-    for _ in range(n_iter):
+    x, older, done = known, None, 0
+    while done != n_iter:
         votes = _step(free, x.withColumn("value", F.lit(1.0)))
         new = settled(_best(votes).select("id", "label").unionByName(known))
-        same = new.join(x, ["id", "label"], "left_anti").isEmpty()
-        x = new
-        if same:
+        back = any(new.join(before, ["id", "label"], "left_anti").isEmpty() for before in (x, older) if before is not None)
+        older, x, done = x, new, done + 1
+        if back:
             break
     return square.nodes.join(x, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 

@@ -13,29 +13,47 @@ from .loops import settled
 from .ranking import normalized_rows, spmv
 
 
-def modularity(graph: Graph, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """One row: fit, diversity and their difference, for labels(id, label) of an adjacency."""
-    a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), labels.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
+def modularity(graph: Graph, labels: DataFrame, labels_col: DataFrame | None = None, resolution: float = 1.0, weights: str = "degree") -> DataFrame:
+    """One row: fit, diversity and their difference, for labels(id, label) of nodes, or of rows and of columns.
+
+    The diversity is over what edges leave and enter clusters ('degree') or over their numbers of nodes ('uniform').
+    """
+    if graph.bipartite and labels_col is None:
+        raise ValueError("the labels of columns are needed too")
+    other = labels if labels_col is None else labels_col
+    a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), other.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
     pairs = graph.edges.join(a, "src").join(b, "dst").groupBy("la", "lb").agg(F.sum("weight").alias("w"))
     total = pairs.agg(F.sum("w").alias("total"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)).alias("inside"))
     out, into = pairs.groupBy("la").agg(F.sum("w").alias("out")), pairs.groupBy("lb").agg(F.sum("w").alias("into"))
+    if weights == "uniform":  # in units of the edges' sum, as the other
+        share = lambda t, n, name, side: t.groupBy(F.col("label").alias(side)).agg((F.count("*") / n).alias(name))
+        unit = graph.edges.agg(F.sum("weight").alias("unit"))
+        out = share(labels, graph.n_row, "out", "la").crossJoin(F.broadcast(unit)).select("la", (F.col("out") * F.col("unit")).alias("out"))  # one row
+        into = share(other, graph.n_col, "into", "lb").crossJoin(F.broadcast(unit)).select("lb", (F.col("into") * F.col("unit")).alias("into"))
+    elif weights != "degree":
+        raise ValueError(f"weights are 'degree' or 'uniform', not {weights!r}")
     spread = out.join(into, out.la == into.lb).agg(F.sum(F.col("out") * F.col("into")).alias("spread"))
     told = total.crossJoin(spread).select((F.col("inside") / F.col("total")).alias("fit"), (F.coalesce("spread", F.lit(0.0)) / F.col("total") ** 2).alias("diversity"))
     return told.select("fit", "diversity", (F.col("fit") - resolution * F.col("diversity")).alias("modularity"))
 
 
-def aggregate_graph(graph: Graph, labels: DataFrame) -> DataFrame:
-    """Edges between labels; negative labels drop out."""
-    known = labels.where("label >= 0")
-    a, b = known.select(F.col("id").alias("src"), F.col("label").alias("src_label")), known.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"))
+def aggregate_graph(graph: Graph, labels: DataFrame | None = None, labels_row: DataFrame | None = None, labels_col: DataFrame | None = None) -> DataFrame:
+    """Edges between labels of nodes, or of rows and of columns; negative labels drop out."""
+    row, col = (labels_row if labels_row is not None else labels), (labels_col if labels_col is not None else labels)
+    if row is None or col is None:
+        raise ValueError("labels, or those of rows and of columns, are needed")
+    row, col = row.where("label >= 0"), col.where("label >= 0")
+    a, b = row.select(F.col("id").alias("src"), F.col("label").alias("src_label")), col.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"))
     return graph.edges.join(a, "src").join(b, "dst").groupBy("src_label", "dst_label").agg(F.sum("weight").alias("weight"))
 
 
 def reindex_labels(labels: DataFrame) -> DataFrame:
-    """(id, label) renumbered by decreasing size, ties to the smaller old label.  The window is over labels, not nodes."""
+    """(id, label) renumbered by decreasing size, ties to the smaller old label; labels may be as many as nodes."""
+    from ..sources.tables import numbered
+
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    numbered = sizes.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).cast("bigint").alias("new"))
-    return labels.join(numbered, "label").select("id", F.col("new").alias("label"))
+    place = numbered(sizes.select(F.struct((-F.col("n")).alias("n"), "label").alias("name")))
+    return labels.join(place.select(F.col("name.label").alias("label"), F.col("id").alias("new")), "label").select("id", F.col("new").alias("label"))
 
 
 def confusion_matrix(pairs: DataFrame) -> DataFrame:
@@ -54,20 +72,20 @@ def f1_scores(pairs: DataFrame) -> DataFrame:
     return both.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def dirichlet(graph: Graph, seeds: DataFrame, n_iter: int = 10) -> DataFrame:
-    """(id, value): every node takes the weighted mean of its successors, seeds(id, value) stay."""
-    return _spread(graph, seeds, n_iter, clamp=True)
+def dirichlet(graph: Graph, seeds: DataFrame, n_iter: int = 10, init: float | None = None) -> DataFrame:
+    """(id, value): every node takes the weighted mean of its successors, seeds(id, value) stay.  Others begin at init, or the seeds' mean."""
+    return _spread(graph, seeds, n_iter, clamp=True, init=init)
 
 
-def diffusion(graph: Graph, seeds: DataFrame, n_iter: int = 3, damping_factor: float = 0.5) -> DataFrame:
+def diffusion(graph: Graph, seeds: DataFrame, n_iter: int = 3, damping_factor: float = 0.5, init: float | None = None) -> DataFrame:
     """(id, value): v becomes (1 - a) v + a mean over predecessors; nodes without one keep theirs."""
-    return _spread(graph, seeds, n_iter, damping_factor=damping_factor)
+    return _spread(graph, seeds, n_iter, damping_factor=damping_factor, init=init)
 
 
-def _spread(graph: Graph, seeds: DataFrame, n_iter: int, clamp: bool = False, damping_factor: float = 1.0) -> DataFrame:
+def _spread(graph: Graph, seeds: DataFrame, n_iter: int, clamp: bool = False, damping_factor: float = 1.0, init: float | None = None) -> DataFrame:
     square = get_adjacency(graph)
     known = settled(seeds.where("value >= 0").select("id", F.col("value").alias("seed")))
-    mean = known.agg(F.avg("seed")).first()[0]
+    mean = known.agg(F.avg("seed")).first()[0] if init is None else float(init)
     nodes = settled(square.nodes.join(known, "id", "left"))
     p = settled(normalized_rows(square if clamp else square.transpose()))
     x = nodes.select("id", F.coalesce("seed", F.lit(mean)).alias("value"))
@@ -78,7 +96,7 @@ def _spread(graph: Graph, seeds: DataFrame, n_iter: int, clamp: bool = False, da
             new = F.coalesce("seed", "moved", F.lit(0.0))
         else:
             new = F.when(F.col("moved").isNull(), F.col("value")).otherwise((1 - damping_factor) * F.col("value") + damping_factor * F.col("moved"))
-        x = settled(joined.select("id", new.alias("value")))
+        x = settled(joined.select("id", new.alias("value")), old=x)
     return x
 
 

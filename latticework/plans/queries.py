@@ -247,7 +247,7 @@ def cf02_diffusion_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TRADE}, {_KNOWN}{_rounds(10, "SELECT * FROM k", "SELECT * FROM k UNION ALL SELECT id, label FROM (SELECT e.src AS id, y.label, sum(weight) AS w FROM e JOIN {x} y ON y.id = e.dst WHERE e.src NOT IN (SELECT id FROM k) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1")}
 SELECT n_nationkey::BIGINT AS id, coalesce(label, -1) AS label FROM nation LEFT JOIN x10 ON id = n_nationkey""")
 def cf03_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifiers.propagation(trade(spark, sf_dir), region_seeds(spark, sf_dir))
+    return classifiers.propagation(trade(spark, sf_dir), region_seeds(spark, sf_dir), n_iter=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

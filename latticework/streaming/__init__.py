@@ -1 +1,5 @@
-"""Graph analytics on Spark DataFrames."""
+"""Edges that arrive as a stream, merged into tables batch by batch."""
+
+from .ingest import merge_degrees, stream_degrees
+
+__all__ = ["merge_degrees", "stream_degrees"]
