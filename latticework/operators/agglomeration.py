@@ -83,7 +83,7 @@ def _chains(graph: LocalGraph, p: list[float], q: list[float]) -> list[tuple[int
                 continue
             del chain[-2:]
             k = n + len(merges)
-            merges.append((min(i, j), max(i, j), 1 / best if best else float("inf"), size[i] + size[j]))
+            merges.append((min(i, j), max(i, j), float(f"{1 / best:.12g}") if best else float("inf"), size[i] + size[j]))
             size[k], p[k], q[k] = size.pop(i) + size.pop(j), p.pop(i) + p.pop(j), q.pop(i) + q.pop(j)
             mine = near.pop(i)
             for x, w in near.pop(j).items():
@@ -143,7 +143,7 @@ def _mutual_rounds(square: Graph, weights: str) -> DataFrame:
         moved = settled(pairs.select(F.explode(F.array("src", "dst")).alias("id"), "new"))
         to = nodes.join(moved, "id", "left").select("id", F.coalesce("new", "id").alias("new"), "p", "q", "size")
         merged = settled(to.groupBy(F.col("new").alias("id")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum("size").alias("size")))
-        found.append(settled(pairs.join(merged.select(F.col("id").alias("new"), "size"), "new").select((F.col("new") - n).alias("step"), F.col("src").alias("left"), F.col("dst").alias("right"), (1 / F.col("alike")).alias("height"), "size")))
+        found.append(settled(pairs.join(merged.select(F.col("id").alias("new"), "size"), "new").select((F.col("new") - n).alias("step"), F.col("src").alias("left"), F.col("dst").alias("right"), F.round(1 / F.col("alike"), 12).alias("height"), "size")))
         name = to.select("id", "new")
         x, y = name.select(F.col("id").alias("src"), F.col("new").alias("a")), name.select(F.col("id").alias("dst"), F.col("new").alias("b"))
         edges = settled(edges.join(x, "src").join(y, "dst").where("a != b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), old=edges)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, bipartite2undirected, degrees, directed2undirected, from_biadjacency, from_edges, weights
-from ..operators import centrality, classifiers, learning, ranking, topology
+from ..functions import scalar
+from ..operators import agglomeration, centrality, checks, classifiers, communities, embeddings, learning, linalg, neighbors, paths, ranking, topology, values
+from ..sources import models
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,20 +31,18 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def sequence(spark: SparkSession, sf_dir: str) -> Graph:
-    """User -> next user by (ts, event_id) within an hour of the day, over events of type purchase and signup."""
-    e = _table(spark, sf_dir, "events").where("event_type in ('purchase', 'signup')")
-    from pyspark.sql import Window
-
+    """User -> user of the next event of the same day, by (ts, event_id), over all events."""
+    e = _table(spark, sf_dir, "events")
     nxt = F.lead("user_id").over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
     rows = e.select(F.col("user_id").alias("src"), nxt.alias("dst")).where("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("weight"))
-    n = _table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] + 1
+    n = e.agg(F.max("user_id")).first()[0] + 1
     return from_edges(rows, n)
 
 
 PS = "ps AS (SELECT l_partkey AS src, l_suppkey AS dst, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2), np AS (SELECT count(*) AS n FROM part), ns AS (SELECT count(*) AS n FROM supplier)"
 BLOCK = PS + ", e AS (SELECT src, dst + (SELECT n FROM np) AS dst, weight FROM ps UNION ALL SELECT dst + (SELECT n FROM np), src, weight FROM ps), nodes AS (SELECT range AS id FROM range((SELECT n FROM np) + (SELECT n FROM ns)))"
 TRADE = "e AS (SELECT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
-SEQ = "q AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst FROM events WHERE event_type IN ('purchase', 'signup')), e AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM q WHERE dst IS NOT NULL GROUP BY 1, 2), nodes AS (SELECT range AS id FROM range((SELECT max(user_id) + 1 FROM events)))"
+SEQ = "q AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM q WHERE dst IS NOT NULL GROUP BY 1, 2), nodes AS (SELECT range AS id FROM range((SELECT max(user_id) + 1 FROM events)))"
 UND = ", u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst)"
 
 
@@ -189,28 +189,22 @@ def lp01_nearest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learning.nearest_links(trade(spark, sf_dir), 5), "similarity")
 
 
-HEAVY = TRADE + ", h AS (SELECT * FROM e WHERE weight >= (SELECT avg(weight) FROM e))"
-
+#: Hops that the definitions below follow; the sequence graph's users are a few hops apart.
+HOPS = 8
 
-def heavy_trade(spark: SparkSession, sf_dir: str) -> Graph:
-    """The trade edges of at least the mean weight."""
-    graph = trade(spark, sf_dir)
-    mean = graph.edges.agg(F.avg("weight").alias("mean"))  # one row
-    return from_edges(graph.edges.crossJoin(F.broadcast(mean)).where("weight >= mean"), graph.n)
 
-
-@query(f"""WITH RECURSIVE {HEAVY}, d AS (SELECT n_nationkey::BIGINT AS source, n_nationkey::BIGINT AS id, 0 AS distance FROM nation UNION SELECT d.source, h.dst, distance + 1 FROM d JOIN h ON h.src = d.id WHERE distance < 24),
-m AS (SELECT source, id, min(distance) AS distance FROM d GROUP BY 1, 2) SELECT source AS id, round(CASE WHEN count(*) = 25 THEN 24 / sum(distance) ELSE 0 END, 6) AS score FROM m GROUP BY 1""")
+@query(f"""WITH RECURSIVE {SEQ}, d AS (SELECT id AS source, id, 0 AS distance FROM nodes UNION SELECT d.source, e.dst, distance + 1 FROM d JOIN e ON e.src = d.id WHERE distance < {HOPS}),
+m AS (SELECT source, id, min(distance) AS distance FROM d GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM nodes) SELECT source AS id, round(CASE WHEN count(*) = any_value(n) THEN (any_value(n) - 1) / sum(distance) ELSE 0 END, 6) AS score FROM m, n GROUP BY 1""")
 def rk05_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(centrality.closeness(heavy_trade(spark, sf_dir)), "score")
+    return rounded(centrality.closeness(sequence(spark, sf_dir)), "score")
 
 
-@query(f"""WITH {HEAVY}{_rounds(24, "SELECT n_nationkey::BIGINT AS s, n_nationkey::BIGINT AS t, 1.0::DOUBLE AS v FROM nation", "SELECT s, h.dst AS t, sum(v) AS v FROM {x} x JOIN h ON h.src = x.t GROUP BY 1, 2")},
-w AS ({" UNION ALL ".join(f"SELECT s, t, {k} AS d, v FROM x{k}" for k in range(25))}), p AS MATERIALIZED (SELECT s, t, min(d) AS d, arg_min(v, d) AS v FROM w GROUP BY 1, 2),
+@query(f"""WITH {SEQ}{_rounds(HOPS, "SELECT id AS s, id AS t, 1.0::DOUBLE AS v FROM nodes", "SELECT s, e.dst AS t, sum(v) AS v FROM {x} x JOIN e ON e.src = x.t GROUP BY 1, 2")},
+w AS ({" UNION ALL ".join(f"SELECT s, t, {k} AS d, v FROM x{k}" for k in range(HOPS + 1))}), p AS MATERIALIZED (SELECT s, t, min(d) AS d, arg_min(v, d) AS v FROM w GROUP BY 1, 2),
 c AS (SELECT a.t AS id, sum(a.v * b.v / p.v) / 2 AS score FROM p a JOIN p b ON a.t = b.s JOIN p ON p.s = a.s AND p.t = b.t WHERE a.d > 0 AND b.d > 0 AND p.d = a.d + b.d AND p.s <> p.t GROUP BY 1)
-SELECT n_nationkey::BIGINT AS id, round(coalesce(score, 0), 6) AS score FROM nation LEFT JOIN c ON id = n_nationkey""")
+SELECT nodes.id, round(coalesce(score, 0), 4) AS score FROM nodes LEFT JOIN c USING (id)""")
 def rk06_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(centrality.betweenness(heavy_trade(spark, sf_dir)), "score")
+    return rounded(centrality.betweenness(sequence(spark, sf_dir)), "score", digits=4)
 
 
 @query(f"""WITH {SEQ}{UND}, o AS (SELECT * FROM u WHERE src < dst)
@@ -250,6 +244,176 @@ def cf03_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.propagation(trade(spark, sf_dir), region_seeds(spark, sf_dir), n_iter=10)
 
 
+@query(f"""WITH {TRADE}{_rounds(20, "SELECT range AS id, 1.0::DOUBLE AS v FROM range(25)", "SELECT e.dst AS id, sum(e.weight * h.v) AS v FROM e JOIN (SELECT e.src, sum(weight * x.v) AS v FROM e JOIN {x} x ON x.id = e.dst GROUP BY 1) h ON h.src = e.src GROUP BY 1")},
+h AS (SELECT e.src AS id, sum(weight * x.v) AS v FROM e JOIN x20 x ON x.id = e.dst GROUP BY 1), s AS (SELECT 'row' AS part, id, v / sqrt(sum(v * v) OVER ()) AS score FROM h UNION ALL SELECT 'col', id, v / sqrt(sum(v * v) OVER ()) FROM x20)
+SELECT p.part, range AS id, round(coalesce(score, 0), 6) AS score FROM range(25) CROSS JOIN (VALUES ('row'), ('col')) p(part) LEFT JOIN s ON s.part = p.part AND s.id = range""")
+def rk04_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ranking.hits(trade(spark, sf_dir)), "score")
+
+
+def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).cast("bigint").alias("label"))
+
+
+def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).cast("bigint").alias("label"))
+
+
+_SIDES = "a AS (SELECT p_partkey AS id, (p_size % 5)::BIGINT AS label FROM part), b AS (SELECT s_suppkey AS id, (s_nationkey % 5)::BIGINT AS label FROM supplier)"
+
+
+@query(f"""WITH {PS}, {_SIDES}, q AS (SELECT a.label AS la, b.label AS lb, sum(weight) AS w FROM ps JOIN a ON src = a.id JOIN b ON dst = b.id GROUP BY 1, 2), t AS (SELECT sum(w) AS t FROM q),
+o AS (SELECT la AS label, sum(w) AS w FROM q GROUP BY 1), i AS (SELECT lb AS label, sum(w) AS w FROM q GROUP BY 1), r AS (SELECT (SELECT sum(w) FROM q WHERE la = lb) / t AS fit, (SELECT sum(o.w * i.w) FROM o JOIN i USING (label)) / (t * t) AS diversity FROM t)
+SELECT round(fit, 6) AS fit, round(diversity, 6) AS diversity, round(fit - diversity, 6) AS modularity FROM r""")
+def ag12_bipartite_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = learning.modularity(part_supplier(spark, sf_dir), part_labels(spark, sf_dir), supplier_labels(spark, sf_dir))
+    return rounded(told, "fit", "diversity", "modularity")
+
+
+@query(f"WITH {PS}, {_SIDES} SELECT a.label AS src_label, b.label AS dst_label, round(sum(weight), 6) AS weight FROM ps JOIN a ON src = a.id JOIN b ON dst = b.id GROUP BY 1, 2")
+def ag04_aggregate_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = learning.aggregate_graph(part_supplier(spark, sf_dir), labels_row=part_labels(spark, sf_dir), labels_col=supplier_labels(spark, sf_dir))
+    return rounded(told, "weight")
+
+
+@query("SELECT p_partkey AS id, (CASE WHEN p_size < 10 THEN 1 ELSE -1 END)::DOUBLE AS value FROM part UNION ALL SELECT s_suppkey + (SELECT count(*) FROM part), -1 FROM supplier")
+def pr05_adjacency_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("id"), F.lit(1.0).alias("value"))
+    return values.get_adjacency_values(part_supplier(spark, sf_dir), values_row=given)[1]
+
+
+@query(f"WITH {TRADE}, k AS (SELECT n_nationkey::BIGINT AS old, row_number() OVER (ORDER BY n_nationkey) - 1 AS id FROM nation WHERE n_regionkey = 1) SELECT a.id AS src, b.id AS dst, weight FROM e JOIN k a ON src = a.old JOIN k b ON dst = b.old")
+def pr13_submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = _table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    return values.submatrix(trade(spark, sf_dir), some)[0].edges
+
+
+@query(f"WITH {TRADE} SELECT src, dst, weight FROM e WHERE src < dst")
+def pr14_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.get_dag(trade(spark, sf_dir)).edges
+
+
+@query(f"WITH {TRADE}, a AS (SELECT src, dst, weight FROM e UNION ALL SELECT range, range, 1 FROM range(25)) SELECT src, dst, sum(weight) AS weight FROM a GROUP BY 1, 2")
+def pr21_self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.add_self_loops(trade(spark, sf_dir)).edges
+
+
+@query(f"WITH {TRADE}, w AS (SELECT n_nationkey::BIGINT AS id, coalesce(sum(weight), 0) AS w FROM nation LEFT JOIN e ON src = n_nationkey GROUP BY 1) SELECT id, round(w / sum(w) OVER (), 6) AS prob FROM w")
+def pr23_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(values.get_probs("degree", trade(spark, sf_dir)), "prob")
+
+
+@query("""WITH k AS (SELECT quality AS t, toxic AS p FROM labels WHERE quality >= 0 AND toxic >= 0), l AS (SELECT DISTINCT unnest([t, p]) AS label FROM k),
+s AS (SELECT label, (SELECT count(*) FROM k WHERE t = label AND p = label) AS hit, (SELECT count(*) FROM k WHERE t = label) AS nt, (SELECT count(*) FROM k WHERE p = label) AS np FROM l),
+r AS (SELECT label, CASE WHEN np > 0 THEN hit / np ELSE 0 END AS precision, CASE WHEN nt > 0 THEN hit / nt ELSE 0 END AS recall FROM s)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM r""")
+def ag10_f1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _table(spark, sf_dir, "labels").select(F.col("quality").alias("label_true"), F.col("toxic").alias("label_pred"))
+    return rounded(learning.f1_scores(pairs), "precision", "recall", "f1")
+
+
+@query("SELECT quality AS label_true, toxic AS label_pred, count(*) AS n FROM labels WHERE quality >= 0 AND toxic >= 0 GROUP BY 1, 2")
+def ag08_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.confusion_matrix(_table(spark, sf_dir, "labels").select(F.col("quality").alias("label_true"), F.col("toxic").alias("label_pred")))
+
+
+@query(f"""WITH {TRADE}, f AS (SELECT src, sum(weight) AS s FROM e GROUP BY 1) SELECT a.dst AS src, b.dst, round(sum(a.weight * b.weight / f.s), 6) AS weight FROM e a JOIN e b USING (src) JOIN f USING (src) GROUP BY 1, 2""")
+def la06_co_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(linalg.co_neighbors(trade(spark, sf_dir).transpose()).edges, "weight")
+
+
+@query(f"WITH {TRADE} SELECT round(sum(weight * weight), 3) AS energy FROM e")
+def la10_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squares of all singular values add up to those of the entries."""
+    found = linalg.SVDSolver().fit(linalg.matrix(trade(spark, sf_dir)), 25).singular_values_
+    return spark.createDataFrame([(float(sum(s * s for s in found)),)], "energy double").select(F.round("energy", 3).alias("energy"))
+
+
+@query(f"""WITH {TRADE}, r AS (SELECT range AS id, coalesce((SELECT sum(weight) FROM e WHERE src = range), 0) + 2 AS s FROM range(25)), a AS (SELECT x.range AS src, y.range AS dst FROM range(25) x, range(25) y)
+SELECT a.dst AS id, round(sum((coalesce(e.weight, 0) + 2 / 25) / r.s), 6) AS value FROM a JOIN r ON r.id = a.src LEFT JOIN e ON e.src = a.src AND e.dst = a.dst GROUP BY 1""")
+def la04_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(linalg.normalizer(trade(spark, sf_dir), 2).sum(axis=0), "value")
+
+
+@query(f"""WITH {TRADE}, {_KNOWN}, n AS (SELECT src, sqrt(sum(weight * weight)) AS n FROM e GROUP BY 1), w AS (SELECT src AS id, dst, weight / n AS w FROM e JOIN n USING (src)),
+c AS (SELECT a.id, b.id AS other, sum(a.w * b.w) AS s FROM w a JOIN w b USING (dst) WHERE a.id NOT IN (SELECT id FROM k) AND b.id IN (SELECT id FROM k) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(s, 9) DESC, other) <= 3),
+v AS (SELECT c.id, label, count(*) AS n FROM c JOIN k ON k.id = other GROUP BY 1, 2), b AS (SELECT id, label FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1)
+SELECT n_nationkey::BIGINT AS id, coalesce(k.label, b.label, -1) AS label FROM nation LEFT JOIN k ON k.id = n_nationkey LEFT JOIN b ON b.id = n_nationkey""")
+def cf04_nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.nn_classifier(trade(spark, sf_dir), region_seeds(spark, sf_dir), 3)[0]
+
+
+@query(f"""WITH {TRADE}{_rounds(5, "SELECT n_nationkey::BIGINT AS id, n_nationkey::BIGINT AS label FROM nation", "SELECT id, coalesce(b.label, y.label) AS label FROM {x} y LEFT JOIN (SELECT id, label FROM (SELECT e.src AS id, z.label, sum(weight) AS w FROM e JOIN {x} z ON z.id = e.dst GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1) b USING (id)")} SELECT id, label FROM x5""")
+def cl03_propagation_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifiers.propagation_clusters(trade(spark, sf_dir))
+
+
+@query()
+def cl01_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return communities.louvain(sequence(spark, sf_dir))
+
+
+@query()
+def cl02_leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return communities.leiden(sequence(spark, sf_dir))
+
+
+@query()
+def hi01_paris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agglomeration.paris(trade(spark, sf_dir))
+
+
+@query()
+def em04_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.spectral(trade(spark, sf_dir), 2).embedding
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: greatest(x::DOUBLE, 0))), 4) AS relu, round(list_sum(list_transform(embedding, lambda x: 1 / (1 + exp(-x::DOUBLE)))), 4) AS sigmoid,
+round(exp(list_max(embedding)::DOUBLE) / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))), 6) AS softmax, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings""")
+def sc04_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"))
+    told = {"relu": (scalar.total(F.transform("x", scalar.relu)), 4), "sigmoid": (scalar.total(F.transform("x", scalar.sigmoid)), 4), "softmax": (F.array_max(scalar.softmax(F.col("x"))), 6), "norm": (scalar.norm(F.col("x")), 5)}
+    return rows.select("vec_id", *[F.round(c, d).alias(n) for n, (c, d) in told.items()])
+
+
+@query("""WITH p AS (SELECT label, list_transform(embedding[1:10], lambda x: exp(x::DOUBLE)) AS e FROM embeddings) SELECT round(avg(-ln(e[label + 1] / list_sum(e))), 6) AS loss FROM p""")
+def sc05_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
+    return rounded(scalar.cross_entropy(_table(spark, sf_dir, "embeddings").select("label", scalar.softmax(x).alias("probs"))), "loss")
+
+
+@query("SELECT c_custkey, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer), 6) AS c_acctbal FROM customer")
+def sc07_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scalar.min_max_scaled(_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal"), "c_acctbal")
+
+
+@query("""WITH c AS (SELECT range AS i FROM range(35)), e AS (SELECT i AS a, i + 1 AS b FROM c WHERE (i + 1) % 7 <> 0 UNION ALL SELECT i, i + 7 FROM c WHERE i < 28) SELECT a AS src, b AS dst, 1.0::DOUBLE AS weight FROM e UNION ALL SELECT b, a, 1.0 FROM e""")
+def gn08_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.grid(spark, 5, 7).edges
+
+
+@query("SELECT range AS src, (range + 1) % 9 AS dst, 1.0::DOUBLE AS weight FROM range(9)")
+def gn06_cyclic_digraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.cyclic_digraph(spark, 9).edges
+
+
+@query("SELECT range AS id, round(cos(2 * pi() * range / 9), 9) AS x, round(sin(2 * pi() * range / 9), 9) AS y FROM range(9)")
+def gn05_cyclic_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(models.cyclic_position(spark, 9), "x", "y", digits=9)
+
+
+@query(f"""WITH RECURSIVE {SEQ}{UND}, r AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.other), c AS (SELECT id, min(other) AS least FROM r GROUP BY 1) SELECT id, dense_rank() OVER (ORDER BY least) - 1 AS label FROM c""")
+def tp01_component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.get_connected_components(sequence(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {SEQ}, d AS (SELECT 0::BIGINT AS id, 0 AS distance UNION SELECT e.dst, distance + 1 FROM d JOIN e ON e.src = d.id WHERE distance < {HOPS}), m AS (SELECT id, min(distance) AS distance FROM d GROUP BY 1)
+SELECT src, dst, weight FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.distance < b.distance""")
+def pa02_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.get_shortest_path(sequence(spark, sf_dir), 0).edges
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 
