@@ -8,7 +8,8 @@ at least half of the item's windows.
 
 Edge cases: null or empty texts have no window; an item shorter than a window is one window of its own length;
 windows that are mostly placeholders stand for their literal words, which only equal values match; rows that share doc_id and text share a result;
-an empty benchmark contaminates nothing.
+an empty benchmark contaminates nothing, an empty table gives no rows; very long texts are read whole; several items that fit a
+document, and items that repeat, each give a row; other columns are ignored, and kept by without_contaminated(), whatever their names.
 """
 
 from __future__ import annotations

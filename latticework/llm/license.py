@@ -6,7 +6,8 @@ where the template would begin are one candidate, which is then compared word by
 mandatory key phrase stands there.  Base phrases are templates that must agree in full.
 
 Edge cases: a null or empty text has no words, no labels and score 0; very long texts are scanned whole;
-repeated rows are scanned each on its own; templates and their words are a fixed, small set.
+repeated rows are scanned each on its own; equally rare words are taken in their alphabetical order; an empty table gives no rows;
+columns other than the two named are ignored, whatever their names; templates and their words are a fixed, small set.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ failed.  A policy is a version and a mask of rules, so policies are applied, com
 arithmetic on the ledger, without reading a text again.
 
 Edge cases: a null text has no words; a text without words fails by n_words alone; texts of any length are
-measured whole; repeated rows are measured each on its own.
+measured whole; repeated rows are measured each on its own. An empty table gives no rows;
+columns other than the two named are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ that meet are compared whole, so chance meetings make no link.  Equal fingerprin
 set of r fingerprints that meet gives at most r - 1 links (a forest over its true links), never all pairs.
 
 Edge cases: a null or blank text has fingerprint zero, linked like any other; a null doc_id takes part and is
-never the smallest while another id is there; repeated rows share a fingerprint and so a component.
+never the smallest while another id is there; repeated rows share a fingerprint and so a component; a bit that exactly half of
+the hashes set is 0; very long texts are hashed whole, some shingles at a time; an empty table gives no rows; columns other than
+the two named are ignored, and kept by without_duplicates(), whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Host rules fit a host and its subdomains when the path starts with theirs, and t
 where none fits, the pattern rules do (block if any matches), else the address is allowed.
 
 Edge cases: a null address, or one without "://", has empty host and path and is judged like any other; ties
-between rules of one length go to the smaller rule; repeated rows are judged each on its own.
+between rules of one length go to the smaller rule; repeated rows are judged each on its own; very long addresses are judged whole;
+an empty table gives no rows; columns other than the two named are ignored, whatever their names.
 """
 
 from __future__ import annotations
