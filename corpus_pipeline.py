@@ -26,7 +26,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity 0.8 or more stays, the one with the smallest doc_id (of rows that repeat it, one)."""
+    """One document of each group of five-word similarity 0.8 or more stays, the one with the smallest doc_id (of rows that repeat it, one).
+
+    SimHash balls wide enough for that similarity bring the texts together; exact similarity decides.
+    """
     return jaccard.without_duplicates(docs)
 
 

@@ -4,9 +4,10 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from latticework.llm import simhash
+from latticework.llm import jaccard, simhash
 
 
 def grams(text):
@@ -48,3 +49,48 @@ def test_near_dedup_stage_finds_five_word_similarity(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
     assert {r["doc_id"] for r in simhash.without_duplicates(docs).select("doc_id").collect()} - want  # three bits leave near copies
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_bucket_joins_what_its_balls_join():
+    """A pair meets if its kept bits differ in at most two places, and is joined if it is within reach; no pair else is."""
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, (300, jaccard.WORDS), dtype=np.uint64)
+    for i in range(100, 300):  # near ones
+        fps[i] = fps[i % 100]
+        for bit in rng.integers(0, 64 * jaccard.WORDS, rng.integers(0, 60)):
+            fps[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    fps[200:, 2] = fps[200, 2]  # one large run in the table that keeps bits of this word
+    for block in (0, 7, 24):
+        bits = jaccard.kept_bits(fps, block)
+        flat = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, block * jaccard.KEPT : (block + 1) * jaccard.KEPT]
+        assert (bits == flat.astype(np.uint64) @ (np.uint64(1) << np.arange(jaccard.KEPT, dtype=np.uint64))).all()
+        buckets = {}
+        for i, x in enumerate(bits.tolist()):
+            high, low = x >> jaccard.LOW, x & int(jaccard._MASK)
+            for flip in (0, *(1 << b for b in range(jaccard.HIGH))):
+                buckets.setdefault(high ^ flip, []).append((low | int(jaccard._MARK) * bool(flip), i))
+        got = []
+        for rows in buckets.values():
+            low, at = np.array([r[0] for r in rows], np.uint16), np.array([r[1] for r in rows])
+            a, b = jaccard.met(low, fps[at, :2], at.astype(np.int64), jaccard.REACH)
+            assert a.size < at.size
+            got += zip(a.tolist(), b.tolist())
+        meets = np.bitwise_count(bits[:, None] ^ bits) <= 2
+        near = np.bitwise_count(fps[:, None, :2] ^ fps[:, :2]).sum(axis=2) <= jaccard.REACH
+        want = [(i, j) for i, j in zip(*np.nonzero(meets & near)) if i < j]
+        tops = [dict(zip(y.tolist(), x.tolist())) for x, y in (jaccard.forest(*np.array(p, np.int64).T) for p in (got, want))]
+        assert tops[0] == tops[1] and len(tops[0]) > 20
+
+
+def test_pairs_of_similarity_four_fifths_meet():
+    rng = np.random.default_rng(6)
+    for own, both, tables, reach in ((0, 4, jaccard.SMALL_TABLES, jaccard.SMALL_REACH), (2, 16, jaccard.TABLES, jaccard.REACH), (20, 160, jaccard.TABLES, jaccard.REACH)):
+        missed = 0
+        for _ in range(1000):
+            h = rng.integers(-(1 << 63), 1 << 63, both + 2 * own + (not own), dtype=np.int64)
+            x, y = (h[:both], h) if not own else (h[: both + own], np.r_[h[:both], h[both + own :]])
+            assert jaccard.DOWN * both == jaccard.UP * h.size
+            fps = np.stack([jaccard.fingerprint(x), jaccard.fingerprint(y)])
+            meets = any(np.bitwise_count(np.bitwise_xor(*jaccard.kept_bits(fps, t))) <= 2 for t in range(tables))
+            missed += not (meets and np.bitwise_count(fps[0, :2] ^ fps[1, :2]).sum() <= reach)
+        assert missed <= 4, (both, missed)
