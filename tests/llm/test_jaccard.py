@@ -94,3 +94,31 @@ def test_pairs_of_similarity_four_fifths_meet():
             meets = any(np.bitwise_count(np.bitwise_xor(*jaccard.kept_bits(fps, t))) <= 2 for t in range(tables))
             missed += not (meets and np.bitwise_count(fps[0, :2] ^ fps[1, :2]).sum() <= reach)
         assert missed <= 4, (both, missed)
+
+
+def test_large_groups_of_near_copies_are_not_paired(spark, monkeypatch):
+    """Tables stay in proportion to the texts where hundreds are near each other and not similar; parts of a group lose no link."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(146)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        copy = list(base)
+        for at in range(10 + i % 9, 146, 34 if i % 4 else 70):  # one in four is similar to the base
+            copy[at] = f"v{i}x{at}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    counts, write = [], jaccard.written
+
+    def counted(df, name):
+        told = write(df, name)
+        counts.append((name, told[0].count()))
+        return told
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    want = sorted(kept_by_brute_force(rows))
+    for part in (jaccard.PART, 60):
+        monkeypatch.setattr(jaccard, "PART", part)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == want
+    # in the first tables a text gives a link for each of its variants at most, later ones join what these left
+    assert 100 < len(want) < 390 and max(n for _, n in counts) <= 12 * len(rows), counts
