@@ -34,15 +34,16 @@ def f1_score(true: DataFrame, predicted: DataFrame) -> tuple[float, float, float
 
 
 def average_f1(true: DataFrame, predicted: DataFrame, average: str = "macro") -> float:
-    """macro: plain mean over labels; weighted: by the labels' true counts; micro: the accuracy."""
+    """macro: plain mean over labels; weighted: by the labels' true counts, nodes without a predicted label included; micro: the accuracy."""
     if average == "micro":
         return accuracy(true, predicted)
     scores = f1_scores(paired(true, predicted))
     if average == "macro":
         return scores.agg(F.avg("f1")).first()[0]
     if average == "weighted":
-        counts = _known(true, predicted).groupBy(F.col("t").alias("label")).agg(F.count("*").alias("n"))
-        return scores.join(counts, "label", "left").na.fill(0, ["n"]).agg(F.sum(F.col("f1") * F.col("n")) / F.sum("n")).first()[0]
+        counts = true.where("label >= 0").groupBy("label").agg(F.count("*").alias("n"))
+        told = counts.join(scores, "label", "left").agg(F.sum(F.coalesce("f1", F.lit(0.0)) * F.col("n")) / F.sum("n"), F.count("f1")).first()
+        return told[0] if told[1] else None
     raise ValueError(f"average is 'macro', 'micro' or 'weighted', not {average!r}")
 
 
