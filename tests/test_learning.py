@@ -55,6 +55,38 @@ def test_betweenness(spark, random_graph):
     assert np.allclose(by_id(centrality.betweenness(random_graph), "score"), want)
 
 
+@pytest.fixture(scope="module")
+def wide_graph(spark):
+    """150 nodes, three words of bits: a cycle, so that all are reached, a hub and random edges, with hops far apart."""
+    rng = np.random.default_rng(5)
+    pairs = [(i, (i + 1) % 150) for i in range(150)] + [(7, j) for j in range(20, 60)] + [(int(a), int(b)) for a, b in rng.integers(0, 150, (60, 2))]
+    return from_list(spark, [(a, b) for a, b in dict.fromkeys(pairs) if a != b])
+
+
+def hops_and_paths(graph):
+    a = dense(graph) > 0
+    n = len(a)
+    walks, hops, paths = np.eye(n), np.where(np.eye(n) > 0, 0, -1), np.eye(n)
+    for k in range(1, n):
+        walks = np.where((hops == k - 1), walks, 0) @ a
+        fresh = (hops < 0) & (walks > 0)
+        hops[fresh], paths[fresh] = k, walks[fresh]
+    return hops, paths
+
+
+def no_pairs(*_):
+    raise AssertionError("a table of pairs was written")
+
+
+def test_closeness_without_a_table_of_pairs(wide_graph, monkeypatch):
+    hops, _ = hops_and_paths(wide_graph)
+    assert (hops >= 0).all() and hops.max() > 5
+    monkeypatch.setattr(centrality, "settled", no_pairs)
+    assert np.allclose(by_id(centrality.closeness(wide_graph), "score"), 149 / hops.sum(axis=1))
+    some = wide_graph.nodes.where("id in (3, 140)")
+    assert np.allclose(by_id(centrality.closeness(wide_graph, some), "score"), 149 / hops.sum(axis=1)[[3, 140]])
+
+
 def test_cliques(spark, random_graph):
     clique = directed2undirected(from_list(spark, [(i, j) for i in range(7) for j in range(i)]))
     assert topology.count_cliques(clique, 4).first()["n"] == 35
