@@ -86,6 +86,16 @@ def test_closeness_without_a_table_of_pairs(wide_graph, monkeypatch):
     some = wide_graph.nodes.where("id in (3, 140)")
     assert np.allclose(by_id(centrality.closeness(wide_graph, some), "score"), 149 / hops.sum(axis=1)[[3, 140]])
 
+def test_betweenness_without_a_table_of_pairs(wide_graph, monkeypatch):
+    hops, paths = hops_and_paths(wide_graph)
+    monkeypatch.setattr(centrality, "settled", no_pairs)
+    want = np.zeros(150)
+    for v in range(150):
+        on = (hops[:, [v]] + hops[[v]] == hops) & (hops > 0)
+        on[v], on[:, v] = False, False
+        want[v] = (np.where(on, paths[:, [v]] * paths[[v]] / np.maximum(paths, 1), 0)).sum() / 2
+    assert np.allclose(by_id(centrality.betweenness(wide_graph), "score"), want)
+
 
 def test_cliques(spark, random_graph):
     clique = directed2undirected(from_list(spark, [(i, j) for i in range(7) for j in range(i)]))
