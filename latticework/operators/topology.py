@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, directed2undirected
 from .loops import settled
+from .spread import closed_wedges
 
 
 def hops_from(graph: Graph, sources: DataFrame) -> DataFrame:
@@ -59,28 +61,50 @@ def _oriented(graph: Graph) -> DataFrame:
 
 def count_triangles(graph: Graph) -> DataFrame:
     """One row, n: wedges of the oriented edges, closed by a third."""
-    e = settled(_oriented(graph))
-    wedge = e.join(e.select(F.col("src"), F.col("dst").alias("end")), "src").where("dst != end")
-    closed = wedge.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("end")), ["dst", "end"])
-    return closed.agg(F.count("*").alias("n"))
+    return closed_wedges(settled(_oriented(graph)), graph.n, False).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
 
 
 def count_cliques(graph: Graph, size: int = 3) -> DataFrame:
     """One row, n: sets of size nodes that are all linked.
 
-    A clique's nodes lie along the oriented edges in one order; a longer one is a shorter one and an out-edge of its
-    last node, kept where edges lead to the new node from all others.
+    A clique's nodes lie along the oriented edges in one order, the others among the successors of the first; the edges among
+    those are the closed wedges of the first node, so its cliques are counted where these lie together.
     """
     if size < 2:
         return graph.nodes.agg(F.count("*").alias("n"))
     e = settled(_oriented(graph))
-    found = e.select(F.col("src").alias("c0"), F.col("dst").alias("c1"))
-    for k in range(2, size):
-        found = found.join(e.select(F.col("src").alias(f"c{k - 1}"), F.col("dst").alias(f"c{k}")), f"c{k - 1}")
-        for i in range(k - 1):
-            found = found.join(e.select(F.col("src").alias(f"c{i}"), F.col("dst").alias(f"c{k}")), [f"c{i}", f"c{k}"], "left_semi")
-        found = settled(found)
-    return found.agg(F.count("*").alias("n"))
+    if size == 2:
+        return e.agg(F.count("*").alias("n"))
+    if size == 3:
+        return count_triangles(graph)
+    near = closed_wedges(e, graph.n, True).groupBy("a").agg(F.collect_list(F.struct(F.col("b").cast("int").alias("b"), "near")).alias("rows"))
+
+    def count(batches):
+        for batch in batches:
+            column = batch.column("rows")
+            for i in range(len(column)):
+                yield pa.RecordBatch.from_arrays([pa.array([cliques_of({r["b"]: r["near"] for r in column[i].as_py()}, size - 1)])], ["k"])
+
+    return near.select("rows").mapInArrow(count, "k bigint").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+
+
+def cliques_of(near: dict[int, list[int]], size: int) -> int:
+    """Sets of size >= 3 nodes that are all linked, along edges that lead from a node to those of its list."""
+    place = {b: i for i, b in enumerate(sorted(set(near).union(*near.values())))}
+    bits = {place[b]: sum(1 << place[c] for c in ends) for b, ends in near.items()}
+
+    def grown(among: int, more: int) -> int:
+        if more == 1:
+            return among.bit_count()
+        told, left = 0, among
+        while left:
+            low = left & -left
+            left ^= low
+            if further := among & bits.get(low.bit_length() - 1, 0):
+                told += grown(further, more - 1)
+        return told
+
+    return grown((1 << len(place)) - 1, size)
 
 
 def clustering_coefficient(graph: Graph) -> DataFrame:

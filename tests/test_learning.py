@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from latticework.graph import directed2undirected, from_list
-from latticework.operators import centrality, classifiers, hierarchy, ranking, topology
+from latticework.operators import centrality, classifiers, hierarchy, ranking, spread, topology
 from latticework.sources import models
 
 HOUSE = [(0, 1), (0, 4), (1, 2), (1, 4), (2, 3), (3, 4)]
@@ -108,6 +108,32 @@ def test_cliques(spark, random_graph):
     assert topology.is_connected(clique) and not topology.is_connected(random_graph)
 
 
+def joins(df):
+    """The joins of a plan by a key; those with a few broadcast rows aside."""
+    plan = df._jdf.queryExecution().toString()
+    return [k for k in ("SortMergeJoin", "HashJoin") if k in plan]
+
+
+@pytest.fixture(scope="module")
+def dense_graph(spark):
+    rng = np.random.default_rng(8)
+    return from_list(spark, [(i, j) for i in range(40) for j in range(40) if i != j and rng.random() < (0.6 if i < 8 else 0.15)], 42)
+
+
+def cliques_by_brute_force(graph, k):
+    a = dense(graph)
+    a = (a + a.T) > 0
+    return sum(all(a[i, j] for i, j in combinations(c, 2)) for c in combinations(range(graph.n), k))
+
+
+def test_triangles_are_closed_in_blocks(dense_graph, monkeypatch):
+    told = topology.count_triangles(dense_graph)
+    assert told.first()["n"] == cliques_by_brute_force(dense_graph, 3) and not joins(told)  # no table of wedges is joined
+    monkeypatch.setattr(spread, "STEP", 5)
+    assert topology.count_triangles(dense_graph).first()["n"] == told.first()["n"]
+    assert topology.count_triangles(from_list(dense_graph.edges.sparkSession, [(0, 0)], 3)).first()["n"] == 0
+
+
 def test_pagerank_classifier(spark, random_graph):
     seeds = {0: 2, 3: 2, 5: 7, 6: 9}
     df = spark.createDataFrame(list(seeds.items()), "id bigint, label bigint")
