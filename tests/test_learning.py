@@ -134,6 +134,13 @@ def test_triangles_are_closed_in_blocks(dense_graph, monkeypatch):
     assert topology.count_triangles(from_list(dense_graph.edges.sparkSession, [(0, 0)], 3)).first()["n"] == 0
 
 
+def test_clustering_coefficient_joins_no_wedges(dense_graph):
+    told = topology.clustering_coefficient(dense_graph)
+    a = dense(dense_graph)
+    d = ((a + a.T) > 0).sum(axis=1)
+    assert np.isclose(told.first()["coefficient"], 3 * cliques_by_brute_force(dense_graph, 3) / (d * (d - 1) / 2).sum()) and not joins(told)
+
+
 def test_pagerank_classifier(spark, random_graph):
     seeds = {0: 2, 3: 2, 5: 7, 6: 9}
     df = spark.createDataFrame(list(seeds.items()), "id bigint, label bigint")
