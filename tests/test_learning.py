@@ -141,6 +141,12 @@ def test_clustering_coefficient_joins_no_wedges(dense_graph):
     assert np.isclose(told.first()["coefficient"], 3 * cliques_by_brute_force(dense_graph, 3) / (d * (d - 1) / 2).sum()) and not joins(told)
 
 
+def test_cliques_are_counted_where_their_first_node_is(dense_graph):
+    for k in (2, 4, 5):
+        told = topology.count_cliques(dense_graph, k)
+        assert told.first()["n"] == cliques_by_brute_force(dense_graph, k) and not joins(told)
+
+
 def test_pagerank_classifier(spark, random_graph):
     seeds = {0: 2, 3: 2, 5: 7, 6: 9}
     df = spark.createDataFrame(list(seeds.items()), "id bigint, label bigint")
