@@ -1,11 +1,14 @@
-"""PageRank, Katz, HITS and top-k.  Every round is one join of edges with the vector and one sum by node."""
+"""PageRank, Katz, HITS and top-k.  Every round is one join of edges with the vector and one sum by node, or, for PageRank and Katz
+of up to spread.MOST_NODES nodes, a product with strips of the matrix that stay where they are."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, get_adjacency
+from . import spread
 from .loops import remove, settled, watched
 
 
@@ -35,6 +38,8 @@ def pagerank(graph: Graph, damping_factor: float = 0.85, n_iter: int = 10, seeds
     if solver not in SOLVERS:
         raise ValueError(f"no such solver: {solver}")
     square = get_adjacency(graph)
+    if solver in ("piteration", "lanczos") and square.n <= spread.MOST_NODES:
+        return _in_strips(square, graph.n_row, damping_factor, n_iter if solver == "piteration" else 10_000, seeds, tol)
     if seeds is None:
         seeds = square.nodes.select("id", (F.col("id") < graph.n_row).cast("double").alias("value"))
     seeds = seeds.select("id", F.greatest("value", F.lit(0.0)).alias("value"))
@@ -55,6 +60,27 @@ def pagerank(graph: Graph, damping_factor: float = 0.85, n_iter: int = 10, seeds
     return x.select("id", (F.col("value") / total).alias("score"))
 
 
+def _in_strips(square: Graph, n_row: int, damping_factor: float, n_iter: int, seeds: DataFrame | None, tol: float) -> DataFrame:
+    """_iterated() where a vector fits the driver: the edges are dealt out once, a round moves nothing but the vector."""
+    spark = square.edges.sparkSession
+    s = (np.arange(square.n) < n_row).astype(float) if seeds is None else np.maximum(spread.column(seeds.select("id", F.col("value").cast("double")), square.n), 0)
+    s /= s.sum() or 1.0
+    edges = settled(square.edges)
+    out = spread.column(edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("value")), square.n)
+    matrix = settled(spread.strips(edges), old=edges)
+    leads = out > 0
+    scale = np.divide(damping_factor, out, out=np.zeros_like(out), where=out != 0)
+    b = s * (1 - damping_factor * leads)
+    x = b
+    for _ in range(n_iter):
+        mass = x.sum() or 1.0
+        y = spread.product(matrix, x * scale) + b * mass
+        if tol and np.abs(y / (y.sum() or 1.0) - x / mass).sum() < tol:
+            break
+        x = y
+    return spread.table(spark, x / (x.sum() or 1.0), "score")
+
+
 def _iterated(turned: DataFrame, start: DataFrame, damping_factor: float, n_iter: int, tol: float) -> DataFrame:
     """Each round is one job: a join of the edges with the vector, a sum by node, and sums over the vector while it is written.
 
@@ -94,6 +120,14 @@ def katz(graph: Graph, damping_factor: float = 0.5, path_length: int = 4) -> Dat
     """(id, score): sum over k of a^k times the paths of k edges that end at the node."""
     square = get_adjacency(graph)
     turned = square.edges.where("weight != 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("weight"))
+    if square.n <= spread.MOST_NODES:
+        edges = settled(turned.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        matrix = settled(spread.strips(edges), old=edges)
+        x, score = np.ones(square.n), np.zeros(square.n)
+        for _ in range(path_length):
+            x = damping_factor * spread.product(matrix, x)
+            score += x
+        return spread.table(graph.edges.sparkSession, score, "score")
     turned = settled(turned)
     both = square.nodes.select("id", F.lit(1.0).alias("value"), F.lit(0.0).alias("score"))
     for _ in range(path_length):

@@ -147,6 +147,28 @@ def test_cliques_are_counted_where_their_first_node_is(dense_graph):
         assert told.first()["n"] == cliques_by_brute_force(dense_graph, k) and not joins(told)
 
 
+def no_join(*_):
+    raise AssertionError("the edges were joined with the vector")
+
+
+def test_pagerank_rounds_move_no_edges(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b), int(w)) for a, b, w in rng.integers(1, 30, (200, 3))]
+    twice = from_list(spark, [(a + 30 * k, b + 30 * k, w) for a, b, w in dict(((a, b), (a, b, w)) for a, b, w in pairs).values() for k in (0, 1)], 60)
+    monkeypatch.setattr(ranking, "spmv", no_join)
+    told = np.array(by_id(ranking.pagerank(twice, tol=0), "score"))
+    assert (told[:30] == told[30:]).all()  # equal nodes tie exactly, so their order is that of their ids
+    a = dense(twice)
+    out = a.sum(axis=1)
+    b = (1 - 0.85 * (out > 0)) / 60
+    x = b
+    for _ in range(10):
+        x = 0.85 * (x / np.where(out > 0, out, 1)) @ a + b * x.sum()
+    assert np.allclose(told, x / x.sum())
+    seeds = spark.createDataFrame([(2, 1.0), (33, -4.0)], "id bigint, value double")
+    assert (np.array(by_id(ranking.pagerank(twice, seeds=seeds), "score"))[30:] == 0).all()
+
+
 def test_pagerank_classifier(spark, random_graph):
     seeds = {0: 2, 3: 2, 5: 7, 6: 9}
     df = spark.createDataFrame(list(seeds.items()), "id bigint, label bigint")
