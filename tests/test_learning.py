@@ -169,6 +169,13 @@ def test_pagerank_rounds_move_no_edges(spark, monkeypatch):
     assert (np.array(by_id(ranking.pagerank(twice, seeds=seeds), "score"))[30:] == 0).all()
 
 
+def test_katz_rounds_move_no_edges(random_graph, monkeypatch):
+    monkeypatch.setattr(ranking, "spmv", no_join)
+    a = (dense(random_graph) != 0).astype(float)
+    want = sum(0.5**k * np.linalg.matrix_power(a.T, k) @ np.ones(15) for k in (1, 2, 3, 4))
+    assert np.allclose(by_id(ranking.katz(random_graph), "score"), want)
+
+
 def test_pagerank_classifier(spark, random_graph):
     seeds = {0: 2, 3: 2, 5: 7, 6: 9}
     df = spark.createDataFrame(list(seeds.items()), "id bigint, label bigint")
