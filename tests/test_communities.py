@@ -25,6 +25,16 @@ def test_louvain(spark, karate):
         communities.louvain(karate, modularity="toto")
 
 
+def test_rounds_over_strips(karate, monkeypatch):
+    def joined(*_):
+        raise AssertionError("a round joined the edges with the labels")
+
+    monkeypatch.setattr(communities, "_rounds", joined)
+    for find in (communities.louvain, communities.leiden):
+        labels = settled(find(karate, most=20))
+        assert labels.count() == 34 and learning.modularity(karate, labels).first()["modularity"] > 0.38
+
+
 def test_louvain_in_rounds(karate):
     labels = settled(communities.louvain(karate, most=20))
     assert labels.count() == 34 and learning.modularity(karate, labels).first()["modularity"] > 0.38
