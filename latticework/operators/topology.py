@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph, directed2undirected
 from .loops import settled
-from .spread import closed_wedges
+from .spread import MOST_NODES, closed_wedges, column, rows_of, strips, table
 
 
 def hops_from(graph: Graph, sources: DataFrame) -> DataFrame:
@@ -117,6 +118,8 @@ def clustering_coefficient(graph: Graph) -> DataFrame:
 def core_decomposition(graph: Graph) -> DataFrame:
     """(id, core): the largest h such that h neighbours have at least h, iterated until stable from the degrees."""
     edges = settled(graph.edges.where("src != dst").select("src", "dst").distinct())
+    if graph.n <= MOST_NODES:
+        return _cores_in_strips(edges, graph.n)
     core = settled(graph.nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")), "id", "left").na.fill(0))
     while True:
         near = edges.join(core.select(F.col("id").alias("dst"), F.col("core").alias("c")), "dst").groupBy("src", "c").agg(F.count("*").alias("k"))
@@ -128,6 +131,31 @@ def core_decomposition(graph: Graph) -> DataFrame:
             return core
 
 
+def _cores_in_strips(edges: DataFrame, n: int) -> DataFrame:
+    """core_decomposition() where an array over the nodes fits the driver: a round is one job over edges that stay where they are."""
+    spark = edges.sparkSession
+    matrix = settled(strips(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("weight"))))
+    core = column(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")), n).astype(np.int64)
+    while True:
+        told = spark.sparkContext.broadcast(core)
+
+        def task(batches):
+            for ids, starts, near, _ in rows_of(batches):
+                size = np.diff(np.r_[starts, near.size])
+                at, c = np.repeat(np.arange(ids.size), size), told.value[near]
+                c = c[np.lexsort((-c, at))]
+                h = np.minimum(told.value[ids], np.maximum.reduceat(np.minimum(c, np.arange(c.size) - starts[at] + 1), starts))
+                less = h < told.value[ids]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[less]), pa.array(h[less])], ["id", "h"])
+
+        found = matrix.mapInArrow(task, "id bigint, h bigint").toArrow()
+        told.destroy()
+        if not found.num_rows:
+            return table(spark, core, "core", "bigint")
+        core = core.copy()
+        core[found.column("id").to_numpy()] = found.column("h").to_numpy()
+
+
 def strong_components(graph: Graph) -> DataFrame:
     """(id, component): the smallest id of the strong component.
 

@@ -176,6 +176,18 @@ def test_katz_rounds_move_no_edges(random_graph, monkeypatch):
     assert np.allclose(by_id(ranking.katz(random_graph), "score"), want)
 
 
+def test_core_rounds_move_no_edges(dense_graph, monkeypatch):
+    monkeypatch.setattr(topology, "Window", None)  # that of the rounds that shuffle
+    both = directed2undirected(dense_graph, weighted=False)
+    a, want = dense(both) > 0, np.zeros(42, int)
+    for k in range(1, 42):
+        left = np.ones(42, bool)
+        while (new := left & (a[:, left].sum(axis=1) >= k)).sum() < left.sum():
+            left = new
+        want[left] = k
+    assert by_id(topology.core_decomposition(both), "core") == want.tolist() and len(set(want)) > 2
+
+
 def test_pagerank_classifier(spark, random_graph):
     seeds = {0: 2, 3: 2, 5: 7, 6: 9}
     df = spark.createDataFrame(list(seeds.items()), "id bigint, label bigint")
